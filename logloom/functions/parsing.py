@@ -117,13 +117,24 @@ def parse_heads(df: DataFrame, raw: str) -> DataFrame:
     known = fold(F.col("_word")).isin(*KNOWN_VERBOSITIES) & F.col("_rest").isNotNull()
     three = F.coalesce(known, F.lit(False))
     two = (F.col("_category") != "") & (F.col("_tail") != "")
+    # One row in, one row out: the generator keeps later filters from being
+    # pushed into the layers above, where each would repeat the whole parse.
     return df.select(
         *kept,
-        "timestamp",
-        "frame",
-        F.when(three | two, F.col("_category")).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
-        F.when(three, F.col("_word")).otherwise(F.lit(DEFAULT_VERBOSITY)).alias("verbosity"),
-        F.when(three, F.col("_rest")).when(two, F.col("_tail")).otherwise(strip(F.col(raw))).alias("message"),
+        F.inline(
+            F.array(
+                F.struct(
+                    F.col("timestamp").alias("timestamp"),
+                    F.col("frame").alias("frame"),
+                    F.when(three | two, F.col("_category")).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
+                    F.when(three, F.col("_word")).otherwise(F.lit(DEFAULT_VERBOSITY)).alias("verbosity"),
+                    F.when(three, F.col("_rest"))
+                    .when(two, F.col("_tail"))
+                    .otherwise(strip(F.col(raw)))
+                    .alias("message"),
+                )
+            )
+        ),
     )
 
 

@@ -52,14 +52,15 @@ EXTENDED_RULES = STANDARD_RULES + (
 
 
 def redact_text(text: Column, rules: tuple[RedactionRule, ...] = STANDARD_RULES) -> Column:
+    """Apply the rules in order; texts that hold none of their guards are passed through."""
+    replaced = text
     for rule in rules:
-        replaced = F.regexp_replace(text, F.lit(rule.pattern), F.lit("$1" + rule.placeholder))
-        if rule.guard:
-            maybe = reduce(lambda a, b: a | b, [F.contains(text, F.lit(word)) for word in rule.guard])
-            text = F.when(maybe, replaced).otherwise(text)
-        else:
-            text = replaced
-    return text
+        replaced = F.regexp_replace(replaced, F.lit(rule.pattern), F.lit("$1" + rule.placeholder))
+    if not all(rule.guard for rule in rules):
+        return replaced
+    words = dict.fromkeys(word for rule in rules for word in rule.guard)
+    candidate = reduce(lambda a, b: a | b, [F.contains(text, F.lit(word)) for word in words])
+    return F.when(candidate, replaced).otherwise(text)
 
 
 def redact_field(key: Column, value: Column, rules: tuple[RedactionRule, ...] = STANDARD_RULES) -> Column:

@@ -47,9 +47,9 @@ def duration_text(interval: Column) -> Column:
         + F.extract(F.lit("MINUTE"), interval).cast("bigint") * 60
     ) * 1_000_000 + micros.cast("bigint")
     size = F.abs(total)
-    second = F.lit(1_000_000)
+    second = F.lit(1_000_000).cast("bigint")
     days = F.floor(size / (86_400 * second))
-    return F.concat(
+    text = F.concat(
         F.when(total < 0, "-").otherwise(""),
         F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise(""),
         F.format_string(
@@ -60,6 +60,7 @@ def duration_text(interval: Column) -> Column:
         ),
         F.when(size % second > 0, F.format_string(".%06d0", size % second)).otherwise(""),
     )
+    return F.when(interval.isNotNull(), text)
 
 
 def from_duration_text(text: Column) -> Column:
