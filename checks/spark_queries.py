@@ -426,7 +426,7 @@ def suppressed_counts(spark, sf_dir):
 @query
 def log_metadata(spark, sf_dir):
     found = timing.log_metadata(events_of(spark, sf_dir), bridge.raw_lines(spark, sf_dir))
-    return found.drop("duration").withColumn("duration_ms", ms(found["duration"], "duration_ms"))
+    return found.withColumn("duration_ms", ms("duration", "duration_ms")).drop("duration")
 
 
 # --- de-duplication ------------------------------------------------------------
@@ -504,7 +504,7 @@ def preview(spark, sf_dir):
 @query
 def time_gaps(spark, sf_dir):
     gaps = timing.time_gaps(events_of(spark, sf_dir), timedelta(hours=1), block_rows(spark, sf_dir))
-    return gaps.drop("gap").withColumn("gap_ms", ms(gaps["gap"], "gap_ms"))
+    return gaps.withColumn("gap_ms", ms("gap", "gap_ms")).drop("gap")
 
 
 @query

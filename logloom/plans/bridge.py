@@ -38,13 +38,24 @@ def rows_per_block(total: int) -> int:
     return max(512, min(BLOCK_ROWS, total // 64))
 
 
+_ROW_COUNTS: dict[tuple[str, str], int] = {}
+
+
+def _row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table, counted once; it only decides how large the blocks are."""
+    key = (sf_dir, name)
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = table(spark, sf_dir, name).count()
+    return _ROW_COUNTS[key]
+
+
 def event_block_rows(spark: SparkSession, sf_dir: str) -> int:
-    return rows_per_block(table(spark, sf_dir, "events").count())
+    return rows_per_block(_row_count(spark, sf_dir, "events"))
 
 
 def document_block_rows(spark: SparkSession, sf_dir: str) -> int:
     # A document has about ten lines.
-    return rows_per_block(10 * table(spark, sf_dir, "documents").count())
+    return rows_per_block(10 * _row_count(spark, sf_dir, "documents"))
 
 
 def _every(n: int) -> Column:

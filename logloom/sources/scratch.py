@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # What may be broadcast after its size has been counted.
@@ -51,14 +51,21 @@ class Lookup:
 
 
 def settle_lookup(df: DataFrame, label: str) -> Lookup:
-    """Settle a table meant to be looked up by ``source_id`` and count what was written.
+    """Settle a table meant to be looked up by ``source_id`` and count what is written.
 
     ``small`` is true when the count proves that the table may be broadcast.
     """
-    table = settle(df, label)
-    rows, text_bytes = table.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source_id")), F.lit(0))
-    ).first()
+    seen = Observation()
+    table = settle(
+        df.observe(
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(F.octet_length("source_id")), F.lit(0)).alias("text_bytes"),
+        ),
+        label,
+    )
+    # A task that ran twice is counted twice, which only errs towards "not small".
+    rows, text_bytes = seen.get["rows"], seen.get["text_bytes"]
     return Lookup(table, rows <= BROADCAST_MAX_ROWS and text_bytes + 64 * rows <= BROADCAST_MAX_BYTES)
 
 
