@@ -23,8 +23,8 @@ def stitch(texts):
     return events
 
 
-def bursts(events, window=10.0):
-    """Events as (line, key, seconds or None) to (line, count)."""
+def bursts(events, window=10_000):
+    """Events as (line, key, milliseconds or None) to (line, count)."""
     result, last = [], None
     for line, key, at in events:
         close = last and last[0] == key and at is not None and last[1] is not None and at - last[1] <= window
