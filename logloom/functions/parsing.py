@@ -153,7 +153,7 @@ def with_fields(df: DataFrame, message: str = "message", output: str = "fields")
         ),
     )
     df = df.withColumn("_tokens", F.filter(tokens, _is_field))
-    df = df.withColumn("_pairs", F.array_sort(F.transform("_tokens", _pair)))
+    df = df.withColumn("_pairs", F.sort_array(F.transform("_tokens", _pair)))
     last_of_key = F.filter(
         "_pairs",
         lambda pair, i: (i == 0) | (F.get(F.col("_pairs"), i - 1)["key"] != pair["key"]),

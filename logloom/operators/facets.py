@@ -116,7 +116,7 @@ def facet_summary(events: DataFrame) -> DataFrame:
 
 def _ordered_counts(chosen: Column, name: str) -> Column:
     entry = F.struct((-F.col("_n")).alias("order"), F.upper(name).alias("folded"), F.col(name).alias("name"))
-    listed = F.array_sort(F.collect_list(F.when(chosen, entry)))
+    listed = F.sort_array(F.collect_list(F.when(chosen, entry)))
     return F.transform(listed, lambda e: F.struct(e["name"].alias("name"), (-e["order"]).alias("count")))
 
 

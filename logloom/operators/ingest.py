@@ -213,7 +213,9 @@ def stitch_continuations(lines: DataFrame, include: bool = True, contiguous: boo
             "source_path",
             F.col("event_line").alias("line_number"),
             "raw",
-            F.transform(F.array_sort("_pieces"), lambda p: p["text"]).alias("continuation_lines"),
+            F.when(F.size("_pieces") == 0, F.array().cast("array<string>"))
+            .otherwise(F.sort_array("_pieces")["text"])
+            .alias("continuation_lines"),
         )
     )
 

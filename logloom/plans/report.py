@@ -146,7 +146,7 @@ def markdown_report(
         .unionByName(lines(steps, 3, F.col("line_number"), step_text))
     )
     grouped = rows.groupBy("source_id").agg(
-        F.array_sort(F.collect_list(F.struct("section", "place", "text"))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct("section", "place", "text"))).alias("_rows")
     )
     headings = ["", "First likely failure:", "Semantic findings:", "Important timeline:"]
 
