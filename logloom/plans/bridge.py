@@ -38,6 +38,7 @@ def rows_per_block(total: int) -> int:
     return max(512, min(BLOCK_ROWS, total // 64))
 
 
+# Facts about the tables that only steer sizes, looked up once.
 _ROW_COUNTS: dict[tuple[str, str], int] = {}
 
 
@@ -49,6 +50,19 @@ def _row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _ROW_COUNTS[key]
 
 
+def spread(df: DataFrame, name: str, sf_dir: str, key: str) -> DataFrame:
+    """Give a table of few splits to all cores before its text is made.
+
+    A small file is one split, and one task would do all the work. Tables with
+    as many splits as cores stay as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    place = (sf_dir, f"{name} splits")
+    if place not in _ROW_COUNTS:
+        _ROW_COUNTS[place] = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if _ROW_COUNTS[place] < cores else df
+
+
 def event_block_rows(spark: SparkSession, sf_dir: str) -> int:
     return rows_per_block(_row_count(spark, sf_dir, "events"))
 
@@ -127,6 +141,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines made from ``events``: four sources, all line shapes, bursts of polling."""
     per_block = event_block_rows(spark, sf_dir)
     base = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    base = spread(base, "events", sf_dir, "event_id")
     base = base.withColumn("polling", F.expr("(event_id div 64) % 3 = 0"))
     instant = F.when(
         F.col("polling"),
@@ -178,6 +193,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, in document order inside each source."""
     per_block = max(1, document_block_rows(spark, sf_dir) // 10)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    documents = spread(documents, "documents", sf_dir, "doc_id")
     return documents.select(
         F.col("source").alias("source_id"),
         F.concat(F.lit("doc/"), "source").alias("source_path"),
