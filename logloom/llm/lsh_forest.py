@@ -10,19 +10,22 @@ candidates, and everywhere the next neighbours in order are. Candidates whose
 values in the tree agree too rarely, or whose sizes rule the similarity out,
 are left out. The others are confirmed on their full sets.
 
-Crowded regions are not cut short: after the confirmed links have formed
-components, a second pass looks at all pairs of each crowded region that are in
-different components. Pairs of one component need no look, so a large group of
-copies costs about as much as its members that are not linked yet.
+Crowded regions are not cut short: what candidate pairs connect is a group, and
+in each group of more than ``crowd`` documents all pairs from different
+components are compared once more, exactly, on the full sets. Documents that are
+linked already need no further look at each other, so a large group of copies
+costs about as much as its members that are not linked yet. No pairs are
+emitted there, only links.
 
 Nothing gathers a group: trees are cut by range, so a prefix that a third of
-all documents share is many partitions; sets to confirm are dealt in portions
-of bounded size; components come from star contraction by joins.
+all documents share is many partitions; sets to compare are dealt in portions
+of bounded size; components come from star contraction by joins. Texts are
+always joined by shuffle, as the needed ones have no bound.
 
 What it can miss: a link between texts that no tree brings together. At the
 least similarity 0.8 and 16 trees this has a probability of about 2e-6; it
 falls fast with the similarity. Two texts of a crowded region that spans a
-partition border of a tree meet only in other trees.
+partition border of a tree meet only in other trees or in their group.
 
 Defined results: texts without words have an empty set, no links, and stay. A
 null id is linked with nothing and stays. Rows that repeat an id and its text
@@ -45,7 +48,7 @@ from logloom.llm.common import annotate, field, pair_hashes, word_numbers
 from logloom.sources.scratch import settle
 
 SIGNED = [field("n_shingles", "long"), field("set_key", "binary"), field("signature", "binary")]
-TREE_ROW = "tree int, prefix binary, rep long, n long, comp long"
+TREE_ROW = "tree int, prefix binary, rep long, n long"
 PAIR = "a long, b long, n_a long, n_b long"
 
 
@@ -123,7 +126,7 @@ def orders(forest: Forest) -> np.ndarray:
 
 
 def planted(classes: DataFrame, forest: Forest, partitions: int) -> DataFrame:
-    """All trees, sorted and cut by range. ``classes``: rep, n, signature, comp."""
+    """All trees, sorted and cut by range. ``classes``: rep, n, signature."""
     places = orders(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +146,11 @@ def planted(classes: DataFrame, forest: Forest, partitions: int) -> DataFrame:
                         pa.array(prefix, pa.binary()),
                         batch.column("rep"),
                         batch.column("n"),
-                        batch.column("comp"),
                     ],
-                    names=["tree", "prefix", "rep", "n", "comp"],
+                    names=["tree", "prefix", "rep", "n"],
                 )
 
-    rows = classes.select("rep", "n", "signature", "comp").mapInArrow(run, TREE_ROW)
+    rows = classes.select("rep", "n", "signature").mapInArrow(run, TREE_ROW)
     return rows.repartitionByRange(partitions, "tree", "prefix", "rep").sortWithinPartitions("tree", "prefix", "rep")
 
 
@@ -168,7 +170,7 @@ def fitting(values: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, for
 
 
 def neighbour_pairs(tree: np.ndarray, values: np.ndarray, n: np.ndarray, forest: Forest) -> Iterator[tuple]:
-    """First pass: regions read as deep as their crowd asks, and the next neighbours in order."""
+    """Pairs of rows: regions read as deep as their crowd asks, and the next neighbours in order."""
     rows = len(tree)
     wanted = np.full(rows, forest.length + 1)  # the depth at which a row's region is not crowded
     for depth in range(forest.length, forest.depth - 1, -1):
@@ -197,37 +199,7 @@ def neighbour_pairs(tree: np.ndarray, values: np.ndarray, n: np.ndarray, forest:
             return
 
 
-def crowded_pairs(
-    tree: np.ndarray, values: np.ndarray, n: np.ndarray, comp: np.ndarray, forest: Forest
-) -> Iterator[tuple]:
-    """Second pass: pairs of a crowded region that are in different components."""
-    if not len(tree):
-        return
-    region = regions(tree, values, forest.depth)
-    starts = np.flatnonzero(np.diff(region, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(tree)], strict=True):
-        if b - a <= forest.crowd:
-            continue
-        kinds, kind, sizes = np.unique(comp[a:b], return_inverse=True, return_counts=True)
-        if len(kinds) == 1:
-            continue
-        # Rows of all components but the largest meet every row of the region.
-        own = np.flatnonzero(kind != sizes.argmax())
-        for at in range(0, len(own), 128):
-            i = own[at : at + 128]
-            agree = np.zeros((len(i), b - a), np.int16)
-            for k in range(forest.length):
-                agree += values[a:b, k][i][:, None] == values[a:b, k][None, :]
-            x, y = np.nonzero((agree >= forest.agree) & (kind[i][:, None] != kind[None, :]))
-            x = i[x]
-            # A pair of two such rows is met from both sides.
-            once = (kind[y] == sizes.argmax()) | (x < y)
-            x, y = x[once] + a, y[once] + a
-            ok = fitting(values, n, x, y, forest)
-            yield x[ok], y[ok]
-
-
-def candidates(trees: DataFrame, forest: Forest, crowded: bool) -> DataFrame:
+def candidates(trees: DataFrame, forest: Forest) -> DataFrame:
     """Distinct candidate pairs, the smaller id first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +211,7 @@ def candidates(trees: DataFrame, forest: Forest, crowded: bool) -> DataFrame:
         joined = b"".join(table.column("prefix").to_pylist())
         values = np.frombuffer(joined, ">u2").reshape(-1, forest.length).astype(np.uint16)
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        if crowded:
-            found = crowded_pairs(tree, values, n, table.column("comp").to_numpy(), forest)
-        else:
-            found = neighbour_pairs(tree, values, n, forest)
-        for i, j in found:
+        for i, j in neighbour_pairs(tree, values, n, forest):
             turn = rep[i] > rep[j]
             i, j = np.where(turn, j, i), np.where(turn, i, j)
             if len(i):
@@ -271,7 +239,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     needed = (
         dealt.select("home", "portion", F.col("a").alias("rep")).union(dealt.select("home", "portion", "b")).distinct()
     )
-    texts = docs.join(needed, "rep").select("home", "portion", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    texts = docs.hint("merge").join(needed, "rep")
+    texts = texts.select("home", "portion", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = texts.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -297,25 +266,72 @@ def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     return rows.groupBy("home", "portion").applyInPandas(run, "a long, b long")
 
 
+def members_linked(found: tuple[np.ndarray, np.ndarray, np.ndarray], sets: list[np.ndarray], least: int) -> Iterator[np.ndarray]:
+    """For each of ``sets``, the places of the sets in ``found`` that are similar enough.
+
+    ``found`` has the place and the hash of every member of the other sets, sorted by hash.
+    """
+    place, hashes, sizes = found
+    for own in sets:
+        low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        runs = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+        common = np.bincount(place[at], minlength=len(sizes))
+        yield np.flatnonzero(100 * common >= least * (len(own) + sizes - common))
+
+
+def linked_in_groups(members: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """Links between components of one group. ``members``: rep, n, group, comp; ``docs``: rep, text."""
+    parts = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    totals = parts.groupBy("group").agg(
+        F.sum("size").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("size", "comp", "n")).alias("most")
+    )
+    # The members outside the largest component meet all members, in tiles of bounded size.
+    crowded = totals.where((F.col("all") > forest.crowd) & (F.col("all") > F.col("most.size"))).select(
+        "group",
+        F.col("most.comp").alias("main"),
+        F.ceil((F.col("all_n") - F.col("most.n")) / forest.portion).cast("int").alias("rows"),
+        F.ceil(F.col("all_n") / forest.portion).cast("int").alias("columns"),
+    )
+    dealt = members.join(crowded, "group")
+
+    def tile(own: str, other: str) -> list:
+        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias(own[:-1])
+        return [mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])]
+
+    kept = ["rep", "comp", "group"]
+    outside = dealt.where("comp <> main").select(*kept, F.lit(True).alias("outside"), *tile("rows", "columns"))
+    everyone = dealt.select(*kept, F.lit(False).alias("outside"), *tile("columns", "rows"))
+    texts = docs.hint("merge").join(outside.unionByName(everyone), "rep")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, other = pdf[pdf["outside"]], pdf[~pdf["outside"]]
+        sets = shingle_sets(other["text"].tolist(), forest.shingle)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        joined = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(joined, kind="stable")
+        found = np.repeat(np.arange(len(sets)), sizes)[order], joined[order], sizes
+        comps, out = other["comp"].to_numpy(), set()
+        mine = shingle_sets(own["text"].tolist(), forest.shingle)
+        for a, at in zip(own["comp"], members_linked(found, mine, forest.similarity), strict=True):
+            out.update((min(a, c), max(a, c)) for c in set(comps[at].tolist()) if c != a)
+        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+    return texts.groupBy("group", "row", "column").applyInPandas(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, comp) for every linked id, the smallest id reachable; by star contraction."""
-    edges = settle(links.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
+    edges, before = links.select("a", "b").where("a <> b"), None
     while True:
         # Large star: the larger neighbours of each id move to its smallest one.
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # Small star: the smaller neighbours of each id, and itself, move to the smallest of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = (
-            large.join(least, "b")
-            .select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        edges = settle(small, "edges")
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        edges = settle(small.where("a <> b").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("v"), F.col("a").alias("comp"))
@@ -337,16 +353,15 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), doc_id: str = "d
     partitions = max(partitions, -(-classes.count() * forest.trees // forest.partition_rows))
     texts = narrow.select(F.col("doc_id").alias("rep"), "text")
 
-    alone = classes.withColumn("comp", F.col("rep"))
-    pairs = settle(candidates(planted(alone, forest, partitions), forest, False), "pairs")
+    pairs = settle(candidates(planted(classes, forest, partitions), forest), "pairs")
     links = settle(confirmed(pairs, texts, forest), "links")
     found = components(links)
-
-    labelled = with_component(classes, found, F.col("rep"))
-    more = candidates(planted(labelled, forest, partitions), forest, True).join(pairs, ["a", "b"], "left_anti")
-    more = settle(more, "crowded")
+    groups = components(pairs).select(F.col("v").alias("g"), F.col("comp").alias("group"))
+    members = with_component(classes.select("rep", "n"), found, F.col("rep"))
+    grouped = members.join(groups, F.col("rep") == F.col("g")).select("rep", "n", "group", "comp")
+    more = settle(linked_in_groups(settle(grouped, "members"), texts, forest), "more")
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed(more, texts, forest)))
+        found = components(links.unionByName(more))
     final = with_component(classes, found, F.col("rep")).select(
         F.col("set_key").alias("k"), F.col("comp").alias("class_component")
     )
