@@ -17,7 +17,8 @@ EM works on a histogram: cells of (context bucket, bigram estimate, unigram
 estimate) in steps of a sixteenth of a power of two, with the held-out tokens in
 each. The number of cells is bounded by the steps, not by the data.
 
-Words are compared by 64 bits of hash, bigrams by 56.
+Words are compared by 64 bits of hash, bigrams by 52. Requests are deleted from the
+shared folder once they are answered.
 
 Defined results: null and empty texts have one token, their end. Texts learn if
 ``remainder`` of their id is not 2; of these, remainder 3 is what EM holds out.
@@ -27,20 +28,20 @@ Without learning texts the score is uniform: every token 1 / (V + 1) with V = 0.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import pair_hashes, remainder, word_numbers
-from logloom.sources.scratch import settle
+from logloom.sources.scratch import scratch_path, settle
 
-BIGRAM_BITS = 56
+BIGRAM_BITS = 52
 STEPS = 16  # of a power of two, in the histogram for EM
 BUCKETS = 24  # context frequencies: 0, 1, 2-3, 4-7, ...
 LEAST_LOG = -64
@@ -54,7 +55,7 @@ class Model:
     held_out: int = 2  # remainder of documents that nothing is learned from
     em_part: int = 3  # remainder of documents whose n-grams EM uses
     modulus: int = 7
-    block_bytes: int = 8 << 20
+    block_bytes: int = 16 << 20
     range_entries: int = 1_000_000  # entries of all blocks that one range task adds up
     rounds: int = 60
 
@@ -113,6 +114,7 @@ def packed_block(ids: list, kinds: np.ndarray, texts: list, ranges: int, block:
     yield -1, block, "h", squash(hashes), b""
 
 
+PACKED = "numbers binary, head binary, words binary, bigrams binary"
 ROWS = "range int, block string, what string, a binary, b binary"
 
 
@@ -212,6 +214,39 @@ def assembled(pdf: pd.DataFrame) -> Block:
     return Block(head[:, 0], head[:, 1], head[:, 2], numbers, context, place, totals["w"], totals["b"])
 
 
+def packed(block: Block) -> pd.DataFrame:
+    """One row that holds all of a block but its hashes."""
+    head = np.stack([block.ids, block.kinds, block.sizes], 1).ravel()
+    arrays = (block.numbers.astype(np.uint32), head, block.words.ravel(), block.bigrams.ravel())
+    row = [squash(arrays[0]), squash(arrays[1]), *(squash(x.astype(np.uint32)) for x in arrays[2:])]
+    return pd.DataFrame([row], columns=["numbers", "head", "words", "bigrams"])
+
+
+def unpacked(row) -> Block:
+    head = unsquash(row.head, np.int64).reshape(-1, 3)
+    numbers = unsquash(row.numbers, np.uint32)
+    _, place = pairs(numbers, head[:, 2])
+    words, bigrams = (unsquash(x, np.uint32).reshape(-1, 2).astype(np.int64) for x in (row.words, row.bigrams))
+    numbers = numbers.astype(np.int64)
+    context = np.concatenate((np.zeros(1, np.int64), numbers[:-1]))
+    return Block(head[:, 0], head[:, 1], head[:, 2], numbers, context, place, words, bigrams)
+
+
+def per_block(table: DataFrame, work: Callable[[Block], pd.DataFrame], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = next(batch.slice(k, 1).to_pandas().itertuples())
+                yield pa.RecordBatch.from_pandas(work(unpacked(row)), preserve_index=False)
+
+    return table.mapInArrow(run, schema)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucket(counts: np.ndarray) -> np.ndarray:
     """0 for no count, else 1 + floor(log2)."""
     return np.where(counts > 0, np.minimum(1 + np.log2(np.maximum(counts, 1)).astype(np.int64), BUCKETS - 1), 0)
@@ -291,20 +326,25 @@ def score(docs: DataFrame, model: Model = Model(), doc_id: str = "doc_id", text:
     # A range's work stays the same for any input: entries are at most the letters over four.
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     ranges = max(16, -(-size // (4 * model.range_entries)))
-    table = settle(blocks(narrow, model, ranges), "blocks")
-    requests, documents = table.where("range >= 0"), table.where("range < 0")
+    path = scratch_path(spark, "blocks")
+    made = blocks(narrow, model, ranges)
+    made.withColumn("request", (F.col("range") >= 0).cast("int")).write.partitionBy("request").parquet(path)
+    table = spark.read.schema(f"{ROWS}, request int").parquet(path)
+    requests, documents = table.where("request = 1").drop("request"), table.where("request = 0").drop("request")
     replies = settle(answers(requests), "answers")
+    forget(spark, f"{path}/request=1")
     sums = [np.frombuffer(r["a"], np.int64) for r in replies.where("what = 's'").select("a").collect()]
     kept, held, vocabulary = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0, 0)))
 
     parts = documents.unionByName(replies.where("what <> 's'"))
+    whole = settle(parts.groupBy("block").applyInPandas(lambda pdf: packed(assembled(pdf)), PACKED), "whole")
+    forget(spark, f"{path}/request=0")
 
-    def histogram(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = cells_of(assembled(pdf), kept)
-        return pd.DataFrame(cells, columns=["bucket", "first", "second", "tokens"])
+    def histogram(block: Block) -> pd.DataFrame:
+        return pd.DataFrame(cells_of(block, kept), columns=["bucket", "first", "second", "tokens"])
 
     cell = "bucket long, first long, second long, tokens long"
-    found = parts.groupBy("block").applyInPandas(histogram, cell).groupBy("bucket", "first", "second")
+    found = per_block(whole, histogram, cell).groupBy("bucket", "first", "second")
     rows = found.agg(F.sum("tokens").alias("tokens")).orderBy("bucket", "first", "second").collect()
     cells = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4)
     # EM sees the estimates of the kept texts; the weights then mix those of all learning texts.
@@ -312,7 +352,4 @@ def score(docs: DataFrame, model: Model = Model(), doc_id: str = "doc_id", text:
     tokens = kept + held
     shared = spark.sparkContext.broadcast(weights)
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        return scored(assembled(pdf), shared.value, tokens, vocabulary)
-
-    return parts.groupBy("block").applyInPandas(final, RESULT)
+    return per_block(whole, lambda block: scored(block, shared.value, tokens, vocabulary), RESULT)
