@@ -120,8 +120,13 @@ def fit(texts: dict[str, list[str]], how: Fit = Fit()) -> Model:
     tables, roots, base = [], [], 0
     for symbols in learned.values():
         step = automaton(to_symbols(symbols, letters), width).astype(np.int64)
-        again = np.where(step[0] >= 0, step[0], 0)  # a new phrase starts with this symbol
-        step = np.where(step >= 0, (step + base) * width, ((again + base) * width)[None, :] | COUNTED)
+        # The last state stands after a symbol that the language lacks: the next one starts a phrase.
+        lost = len(step)
+        again = np.where(step[0] >= 0, step[0], lost)
+        new_phrase = ((again + base) * width | COUNTED)[None, :]
+        inside = np.where(step >= 0, (step + base) * width, new_phrase)
+        inside[0] = (again + base) * width
+        step = np.concatenate((inside, new_phrase))
         tables.append(step.astype(np.int32).ravel())
         roots.append(base * width)
         base += len(step)

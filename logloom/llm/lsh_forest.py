@@ -182,6 +182,9 @@ def neighbour_pairs(tree: np.ndarray, values: np.ndarray, n: np.ndarray, forest:
     for k in range(forest.length):
         same = same & (values[1:, k] == values[:-1, k])
         common += same
+    # In a crowded region neighbours are always candidates, so that it is one group.
+    i = np.flatnonzero((common >= forest.depth) & (wanted[: len(common)] > forest.depth))
+    yield i, i + 1
     shared = common.copy()  # the common prefix of rows i and i + apart
     for apart in range(1, forest.crowd):
         if apart > 1:
@@ -356,9 +359,11 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), doc_id: str = "d
     pairs = settle(candidates(planted(classes, forest, partitions), forest), "pairs")
     links = settle(confirmed(pairs, texts, forest), "links")
     found = components(links)
-    groups = components(pairs).select(F.col("v").alias("g"), F.col("comp").alias("group"))
+    groups = components(pairs).select("v", F.col("comp").alias("group"))
     members = with_component(classes.select("rep", "n"), found, F.col("rep"))
-    grouped = members.join(groups, F.col("rep") == F.col("g")).select("rep", "n", "group", "comp")
+    # The first document of a group stands in no row of its own.
+    grouped = members.join(groups, F.col("rep") == F.col("v"), "left").withColumn("group", F.coalesce("group", "rep"))
+    grouped = grouped.select("rep", "n", "group", "comp")
     more = settle(linked_in_groups(settle(grouped, "members"), texts, forest), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -93,7 +93,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
 def fit(values: np.ndarray, labels: np.ndarray, how: Fit = Fit()) -> Model:
     inner, leaves = 2**how.depth - 1, 2**how.depth
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         base = 0.0 if not len(labels) else (8.0 if share else -8.0)
         return Model(base, how.depth, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     width = values.shape[1]
