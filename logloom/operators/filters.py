@@ -14,7 +14,7 @@ from logloom.functions.text import contains_ignore_case, fold
 from logloom.operators.ordered import BLOCK, BLOCK_KEYS, BLOCK_ROWS, block_table, with_block
 from logloom.plans.log_query import EMPTY_QUERY, LogQuery
 from logloom.plans.profiles import LogProfile
-from logloom.sources.scratch import BROADCAST_MAX_ROWS, settle_lookup
+from logloom.sources.scratch import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, settle_lookup
 
 # Longer name lists are joined instead of inlined into the plan.
 INLINE_NAMES = 1000
@@ -28,7 +28,8 @@ def _join_names(events: DataFrame, names: Sequence[str], how: str) -> DataFrame:
     """Semi or anti join with a long list of category names."""
     rows = [(name,) for name in _folded(names)]
     table = events.sparkSession.createDataFrame(rows, "_name string")
-    if len(rows) <= BROADCAST_MAX_ROWS:
+    size = sum(len(name.encode()) for (name,) in rows)
+    if len(rows) <= BROADCAST_MAX_ROWS and size + 64 * len(rows) <= BROADCAST_MAX_BYTES:
         table = F.broadcast(table)
     return events.join(table, fold(F.col("category")) == F.col("_name"), how)
 
@@ -47,7 +48,8 @@ def exclude_categories(events: DataFrame, names: Sequence[str]) -> DataFrame:
         return events
     if len(names) > INLINE_NAMES:
         return _join_names(events, names, "left_anti")
-    return events.filter(~fold(F.col("category")).isin(*_folded(names)))
+    # An event without a category is in no list, as in the joined form.
+    return events.filter(~F.coalesce(fold(F.col("category")).isin(*_folded(names)), F.lit(False)))
 
 
 def exclude_noise(events: DataFrame, profile: LogProfile | None) -> DataFrame:

@@ -17,17 +17,23 @@ def split_csv(text: str | None) -> tuple[str, ...]:
 
 
 _CLOCK = re.compile(
-    r"^(?P<sign>-)?(?:(?P<days>\d+)[.:](?=\d+:\d+:\d+))?(?P<h>\d+):(?P<m>\d+)(?::(?P<s>\d+)(?:\.(?P<f>\d{1,7}))?)?$"
+    r"^(?P<sign>-)?(?:(?P<days>[0-9]+)[.:](?=[0-9]+:[0-9]+:[0-9]+))?(?P<h>[0-9]+):(?P<m>[0-9]+)(?::(?P<s>[0-9]+)(?:\.(?P<f>[0-9]{1,7}))?)?$"
 )
-_DAYS_AND_CLOCK = re.compile(r"^(?P<sign>-)?(?P<days>\d+)[.](?P<h>\d+):(?P<m>\d+)$")
+_DAYS_AND_CLOCK = re.compile(r"^(?P<sign>-)?(?P<days>[0-9]+)[.](?P<h>[0-9]+):(?P<m>[0-9]+)$")
 
 
 def parse_duration(text: str | timedelta | None) -> timedelta | None:
     """``[d.]hh:mm[:ss[.f]]``, or a bare number of days; anything else means no constraint."""
     if text is None or isinstance(text, timedelta):
         return text
-    text = text.strip()
-    if re.fullmatch(r"-?\d+", text):
+    try:
+        return _duration(text.strip())
+    except OverflowError:
+        return None
+
+
+def _duration(text: str) -> timedelta | None:
+    if re.fullmatch(r"-?[0-9]+", text):
         return timedelta(days=int(text))
     match = _CLOCK.match(text) or _DAYS_AND_CLOCK.match(text)
     if match is None:

@@ -16,11 +16,12 @@ def parse_json_events(texts: DataFrame, fail_fast: bool = True) -> DataFrame:
     """Column ``value`` with one JSON object per row to events and ``_broken``.
 
     Property names match in any letter case, as other writers spell them
-    differently; Spark's JSON reader would not do that.
+    differently; Spark's JSON reader would not do that. Blank rows are no
+    records. A record is broken if it is no JSON object or if a value does not
+    have the type of its column; ``fail_fast`` then fails the job.
     """
-    mode = "FAILFAST" if fail_fast else "PERMISSIVE"
-    loose = F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": mode})
-    rows = texts.select(
+    loose = F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"})
+    rows = texts.where(F.col("value").rlike(r"\S")).select(
         F.transform_keys(loose, lambda key, _: F.lower(key)).alias("_json"),
         (loose.isNull() & F.col("value").isNotNull()).alias("_broken"),
         "value",
@@ -34,10 +35,18 @@ def parse_json_events(texts: DataFrame, fail_fast: bool = True) -> DataFrame:
             return from_duration_text(text)
         if isinstance(kind, (T.ArrayType, T.MapType)):
             return F.from_json(text, kind)
-        return text.cast(kind)
-
-    return rows.select(
-        *[column(field.name, field.dataType).alias(field.name) for field in EVENT_SCHEMA.fields], "_broken", "value"
+        return text.try_cast(kind)
+
+    typed = rows.withColumns({f"_typed_{f.name}": column(f.name, f.dataType) for f in EVENT_SCHEMA.fields})
+    broken = F.col("_broken")
+    for f in EVENT_SCHEMA.fields:
+        given = F.try_element_at("_json", F.lit(f.name.replace("_", ""))).isNotNull()
+        broken = broken | F.coalesce(given & F.col(f"_typed_{f.name}").isNull(), F.lit(False))
+    if fail_fast:
+        message = F.concat(F.lit("broken event record: "), F.col("value"))
+        typed = typed.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return typed.select(
+        *[F.col(f"_typed_{f.name}").alias(f.name) for f in EVENT_SCHEMA.fields], broken.alias("_broken"), "value"
     )
 
 

@@ -148,3 +148,27 @@ def test_yaml_profile(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "ue-default").write_text("name: local\nimportant_patterns:\n  - boom\n")
     assert load_profile("ue-default").important_patterns == ("boom",)
+
+
+def test_durations_out_of_range_are_no_constraint():
+    assert parse_duration("9999999999") is None
+    assert parse_duration("9999999999.01:00:00") is None
+    assert parse_duration("١٢") is None
+
+
+def test_short_and_long_exclusions_agree_on_null_categories(spark):
+    from logloom.operators import filters
+    from tests.helpers import event, events_frame, lines_of
+
+    frame = events_frame(
+        spark,
+        event(1, category=None),
+        event(2, category=""),
+        event(3, category="LogNET"),
+        event(4, category="LogGame"),
+    )
+    long = ["lognet", *(f"Log{i}" for i in range(filters.INLINE_NAMES + 1))]
+    assert lines_of(filters.exclude_categories(frame, ["LogNet"])) == [1, 2, 4]
+    assert lines_of(filters.exclude_categories(frame, long)) == [1, 2, 4]
+    assert lines_of(filters.include_categories(frame, ["LogNet"])) == [3]
+    assert lines_of(filters.include_categories(frame, long)) == [3]

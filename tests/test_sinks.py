@@ -96,3 +96,24 @@ def test_stream_bursts(spark, tmp_path):
     found = spark.read.schema(stream.schema).parquet(target).collect()
     closed = sorted((r["message"], (r["first_timestamp"] - START).total_seconds(), r["count"]) for r in found)
     assert closed == [("p", 0.0, 2), ("p", 21.0, 1), ("q", 1.0, 1)]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        '{"lineNumber":"abc"}',
+        '{"frame":"x"}',
+        '{"timestamp":"yesterday"}',
+        '{"relativeTime":"soon"}',
+        '{"continuationLines":"no list"}',
+        '{"fields":"no object"}',
+        "no json",
+    ],
+)
+def test_bad_records_are_told_apart(spark, tmp_path, bad):
+    (tmp_path / "events.json").write_text(f'\n{{"sourceId":"a","lineNumber":1}}\n  \n{bad}\n')
+    good, broken = sources.read_json_events_with_errors(spark, str(tmp_path))
+    assert [r["line_number"] for r in good.collect()] == [1]
+    assert [r["record"] for r in broken.collect()] == [bad]
+    with pytest.raises(Exception, match="broken event record"):
+        sources.read_json_events(spark, str(tmp_path)).collect()
