@@ -5,10 +5,11 @@ one document of a class, its smallest id, goes on. Its MinHash signature is
 read in several orders (the trees). Each tree is sorted, so documents with a
 long common prefix are neighbours. A region starts as the documents that share
 the first ``depth`` values; where it is crowded it is read deeper, until few
-enough share the prefix. All pairs of a region that is not crowded are
-candidates, and everywhere the next neighbours in order are. Candidates whose
-values in the tree agree too rarely, or whose sizes rule the similarity out,
-are left out. The others are confirmed on their full sets.
+enough share the prefix. All pairs of a region that is not crowded at first are
+candidates; where it had to be read deeper, the next neighbours in order that
+share the deeper prefix are. Candidates whose values in the tree agree too
+rarely, or whose sizes rule the similarity out, are left out. The others are
+confirmed on their full sets.
 
 Crowded regions are not cut short: what candidate pairs connect is a group, and
 in each group of more than ``crowd`` documents all pairs from different
@@ -191,9 +192,10 @@ def neighbour_pairs(tree: np.ndarray, values: np.ndarray, n: np.ndarray, forest:
             if len(shared) < 2:
                 return
             shared = np.minimum(shared[:-1], common[apart - 1 :])
+        # All pairs of a region that is not crowded at once; the nearest pairs of one that had to be read deeper.
         take = shared >= wanted[: len(shared)]
-        if apart <= forest.neighbours:
-            take |= shared >= forest.depth
+        if apart > forest.neighbours:
+            take &= wanted[: len(shared)] == forest.depth
         i = np.flatnonzero(take)
         if len(i):
             ok = fitting(values, n, i, i + apart, forest)
