@@ -181,9 +181,8 @@ pairs AS (
   FULL JOIN (SELECT * FROM rk WHERE source_id = 'src1') r ON l.idx = r.idx)"""
 
 _FILES = """
-per AS (SELECT greatest(512, least(1048576, count(*) // 64)) AS n FROM events),
 files AS (
-  SELECT source_id || '-' || (e // (SELECT n FROM per)) AS file, line_number AS whole, value FROM lines),
+  SELECT source_id || '-' || (e // 4096) AS file, line_number AS whole, value FROM lines),
 numbered AS (
   SELECT file AS source_id, row_number() OVER (PARTITION BY file ORDER BY whole) AS line_number, value FROM files)"""
 
@@ -229,6 +228,7 @@ _COUNTS_JSON = (
 ORACLES: dict[str, str] = {
     "scan_lines": with_files("SELECT source_id, value FROM numbered"),
     "line_numbering": with_files("SELECT * FROM numbered"),
+    "line_numbering_rotated": with_lines("SELECT source_id, line_number, value FROM lines"),
     "parse_text_files": with_file_events(
         f"SELECT {SHORT}, ts AS timestamp, frame, {CONT} AS continuation, raw_text_hash FROM ev"
     ),

@@ -96,11 +96,12 @@ def ms(interval: Column | str, name: str) -> Column:
 
 
 def log_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The raw lines as text files, one file per source and block."""
+    """The raw lines as text files: of each source, a file for every so many events."""
     path = scratch_path(spark, "log-text")
-    keys = ["source_id", "block"]
+    keys = ["source_id", "file"]
     (
         bridge.raw_lines(spark, sf_dir)
+        .withColumn("file", bridge.file_number())
         .repartition(*keys)
         .sortWithinPartitions(*keys, "pos")
         .select(*keys, "value")
@@ -111,7 +112,15 @@ def log_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def file_source() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), r"^.*source_id=([^/]+)/block=([0-9]+)/[^/]*$", "$1-$2")
+    return F.regexp_replace(F.col("_metadata.file_path"), r"^.*source_id=([^/]+)/file=([0-9]+)/[^/]*$", "$1-$2")
+
+
+def whole_source() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"source_id=([^/]+)/file=[0-9]+/[^/]*$", 1)
+
+
+def file_place() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"/file=([0-9]+)/[^/]*$", 1).cast("long")
 
 
 @query
@@ -128,6 +137,18 @@ def line_numbering(spark, sf_dir):
     return ingest.number_lines(lines, contiguous=True).select("source_id", "line_number", "value")
 
 
+@query
+def line_numbering_rotated(spark, sf_dir):
+    """The files of a source as one log, each cut into many splits."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = read_lines(spark, log_folder(spark, sf_dir), whole_source(), file_place=file_place())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return ingest.number_lines(lines, contiguous=True).select("source_id", "line_number", "value")
+
+
 @query
 def parse_text_files(spark, sf_dir):
     lines = read_lines(spark, log_folder(spark, sf_dir), file_source())

@@ -39,6 +39,14 @@ class ParserOptions:
         return self.expected_schema_version if self.strict_schema_version else DEFAULT_SCHEMA_VERSION
 
 
+def _contiguous_rows() -> Column:
+    """Rows of a block, which fails if its positions have gaps, as when two files are taken for one."""
+    rows = F.count(F.lit(1))
+    gap = F.max("pos") - F.min("pos") + 1 != rows
+    message = "a block has gaps: files of one source need a place each (file_place)"
+    return F.when(gap, F.raise_error(F.lit(message)).cast("bigint")).otherwise(rows)
+
+
 def number_lines(lines: DataFrame, contiguous: bool = False) -> DataFrame:
     """Add ``line_number``, 1-based per source; blank lines count.
 
@@ -47,7 +55,8 @@ def number_lines(lines: DataFrame, contiguous: bool = False) -> DataFrame:
     line is shuffled as long as that table may be broadcast.
     """
     blocked = lines.withColumnRenamed("block", BLOCK)
-    counts = block_table(blocked, F.count(F.lit(1)).alias("_rows"), F.min("pos").alias("_first"))
+    rows = _contiguous_rows() if contiguous else F.count(F.lit(1))
+    counts = block_table(blocked, rows.alias("_rows"), F.min("pos").alias("_first"))
     carry = counts.select(
         *BLOCK_KEYS, "_first", F.coalesce(F.sum("_rows").over(earlier_blocks()), F.lit(0)).alias("_before")
     )
@@ -94,7 +103,7 @@ def _block_facts(blocked: DataFrame, contiguous: bool) -> DataFrame:
     """
     pos, starts, blank = F.col("pos"), F.col("_starts"), F.col("_blank")
     aggregates = [
-        F.count(F.lit(1)).alias("_rows"),
+        (_contiguous_rows() if contiguous else F.count(F.lit(1))).alias("_rows"),
         F.min("pos").alias("_first"),
         F.min(F.when(starts, pos)).alias("_first_start"),
         F.min(F.when(~blank, pos)).alias("_first_text"),

@@ -25,6 +25,15 @@ CATEGORY_OF_TYPE = {
 }
 
 
+# Events of a source's log file; the files of a table do not change when the table grows.
+FILE_EVENTS = 4096
+
+
+def file_number() -> Column:
+    """Number of the log file that a line of ``raw_lines`` stands in, in order."""
+    return F.expr(f"pos div {16 * FILE_EVENTS}L")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +42,7 @@ def rows_per_block(total: int) -> int:
     """Block size for a table of ``total`` rows: about 64 blocks, within fixed bounds.
 
     Small tables still get several blocks, huge ones never more than
-    ``BLOCK_ROWS`` rows in one.
+    ``BLOCK_ROWS`` rows in one. No result depends on it.
     """
     return max(512, min(BLOCK_ROWS, total // 64))
 
@@ -189,26 +198,32 @@ def parsed_events(spark: SparkSession, sf_dir: str, options: ParserOptions = Par
     return parse_events(raw_lines(spark, sf_dir), options)
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document, in document order inside each source."""
+def document_lines(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    """Every line of every document, in document order inside each source.
+
+    ``labelled`` adds the document's ``quality`` and ``toxic``, joined before
+    the text is cut into lines.
+    """
     per_block = max(1, document_block_rows(spark, sf_dir) // 10)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     documents = spread(documents, "documents", sf_dir, "doc_id")
+    if labelled:
+        labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+        documents = documents.join(labels, "doc_id", "left")
     return documents.select(
         F.col("source").alias("source_id"),
         F.concat(F.lit("doc/"), "source").alias("source_path"),
         F.expr(f"doc_id div {per_block}L").alias("block"),
         "doc_id",
         "lang",
+        *(["quality", "toxic"] if labelled else []),
         F.posexplode(F.split("text", "\n")).alias("j", "value"),
     ).withColumn("pos", F.shiftleft("doc_id", 31) + F.col("j"))
 
 
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events from ``documents``, without timestamps; verbosity from ``labels``."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    numbered = number_lines(document_lines(spark, sf_dir))
-    lines = numbered.join(labels, "doc_id", "left")
+    lines = number_lines(document_lines(spark, sf_dir, labelled=True))
     verbosity = F.when(F.col("toxic") == 1, "Error").when(F.col("quality") == 0, "Warning").otherwise("Display")
     events = lines.select(
         F.lit(DEFAULT_SCHEMA_VERSION).alias("schema_version"),

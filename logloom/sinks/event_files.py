@@ -9,6 +9,7 @@ from logloom.functions.severity import severity_rank
 from logloom.functions.text import fold
 from logloom.functions.time import duration_text, iso_utc
 from logloom.schema import EVENT_COLUMNS, ORDER_KEYS
+from logloom.sources.scratch import settle
 
 
 def json_name(column: str) -> str:
@@ -32,8 +33,13 @@ def to_ndjson(events: DataFrame) -> DataFrame:
 
 
 def in_log_order(events: DataFrame) -> DataFrame:
-    """Range-partition and sort, so that files read one after the other follow the log."""
-    return events.repartitionByRange(*ORDER_KEYS).sortWithinPartitions(*ORDER_KEYS)
+    """Range-partition and sort, so that files read one after the other follow the log.
+
+    The ranges come from a sample of the rows. They are written down first, or
+    everything before this would run once for the sample and once for the rows.
+    """
+    written = settle(events, "to-sort")
+    return written.repartitionByRange(*ORDER_KEYS).sortWithinPartitions(*ORDER_KEYS)
 
 
 def write_json(events: DataFrame, path: str, ordered: bool = True) -> None:
@@ -43,8 +49,14 @@ def write_json(events: DataFrame, path: str, ordered: bool = True) -> None:
 
 
 def write_text(rows: DataFrame, path: str) -> None:
-    """A one-column text DataFrame to a folder of text files."""
-    rows.write.text(path)
+    """Column ``value`` to a folder of text files.
+
+    Rows that have the order keys (matched, clean and burst lines) are written
+    in log order: files in order of their names, read one after the other.
+    """
+    if set(ORDER_KEYS) <= set(rows.columns):
+        rows = in_log_order(rows)
+    rows.select("value").write.text(path)
 
 
 def write_lake(events: DataFrame, path: str) -> None:

@@ -9,26 +9,39 @@ from logloom.schema import LINE_SCHEMA
 from logloom.sources.scratch import scratch_path
 
 
-def scan_lines(spark: SparkSession, path: str | list[str], source_id: Column | None = None) -> DataFrame:
+# A block's place in its source: the file's place, then the byte offset in the file (below 2 ** OFFSET_BITS).
+OFFSET_BITS = 44
+
+
+def scan_lines(
+    spark: SparkSession, path: str | list[str], source_id: Column | None = None, file_place: Column | None = None
+) -> DataFrame:
     """Scan text; ``\\n``, ``\\r\\n`` and ``\\r`` end a line.
 
-    Each file is a source. ``block`` is the byte offset of the file split and
-    ``pos`` grows by one per line inside it, because one task reads a split in
-    order and the id is taken directly above the scan.
+    Each file is a source, unless ``source_id`` (over ``_metadata``) gives
+    several files one name: then ``file_place`` must number the files of a
+    source in order, 0 to 2 ** 19 - 1. ``block`` is the place of the file and
+    the byte offset of the file split; ``pos`` grows by one per line inside it,
+    because one task reads a split in order and the id is taken directly above
+    the scan. Files that share a source and a place fail when they are numbered.
     """
     scanned = spark.read.text(path)
-    location = F.col("_metadata.file_path")
+    location, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     return scanned.select(
         (location if source_id is None else source_id).alias("source_id"),
         location.alias("source_path"),
-        F.col("_metadata.file_block_start").alias("block"),
+        (start if file_place is None else F.shiftleft(file_place.cast("long"), OFFSET_BITS) + start).alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         "value",
     )
 
 
 def read_lines(
-    spark: SparkSession, path: str | list[str], source_id: Column | None = None, landing: str | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    source_id: Column | None = None,
+    landing: str | None = None,
+    file_place: Column | None = None,
 ) -> DataFrame:
     """Land the scanned lines as a table and return it.
 
@@ -39,7 +52,7 @@ def read_lines(
     under the session's checkpoint folder.
     """
     target = landing or scratch_path(spark, "lines")
-    scan_lines(spark, path, source_id).write.parquet(target)
+    scan_lines(spark, path, source_id, file_place).write.parquet(target)
     return landed_lines(spark, target)
 
 

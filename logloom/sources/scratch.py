@@ -36,6 +36,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/logloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote under the shared folder; tables read from it are gone then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/logloom/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the table read back from the shared folder."""
     spark = df.sparkSession
