@@ -25,8 +25,9 @@ always joined by shuffle, as the needed ones have no bound.
 
 What it can miss: a link between texts that no tree brings together. At the
 least similarity 0.8 and 16 trees this has a probability of about 2e-6; it
-falls fast with the similarity. Two texts of a crowded region that spans a
-partition border of a tree meet only in other trees or in their group.
+falls fast with the similarity. Regions that a partition border of a tree cuts
+are put together again from what both sides report about their first and last
+region.
 
 Defined results: texts without words have an empty set, no links, and stay. A
 null id is linked with nothing and stays. Rows that repeat an id and its text
@@ -51,6 +52,8 @@ from logloom.sources.scratch import settle
 SIGNED = [field("n_shingles", "long"), field("set_key", "binary"), field("signature", "binary")]
 TREE_ROW = "tree int, prefix binary, rep long, n long"
 PAIR = "a long, b long, n_a long, n_b long"
+# A row of a region at a partition's border has no b; its region may go on in the next partition.
+FOUND = f"{PAIR}, tree int, prefix binary"
 
 
 @dataclass(frozen=True)
@@ -204,8 +207,48 @@ def neighbour_pairs(tree: np.ndarray, values: np.ndarray, n: np.ndarray, forest:
             return
 
 
+def at_borders(tree: np.ndarray, values: np.ndarray, forest: Forest) -> Iterator[tuple[np.ndarray, int]]:
+    """The first and the last region of a partition: all rows and 1, or one row and 0 if it is crowded."""
+    region = regions(tree, values, forest.depth)
+    for k in sorted({0, int(region[-1])}):
+        rows = np.flatnonzero(region == k)
+        yield (rows, 1) if len(rows) <= forest.crowd else (rows[:1], 0)
+
+
+def border_pairs(border: DataFrame, forest: Forest) -> DataFrame:
+    """Candidate pairs of the regions that partition borders cut. ``border``: rows of ``candidates`` without b.
+
+    A region that is crowded only as a whole, or in some part, becomes one
+    group; of one that is not, all pairs are candidates. A partition has at
+    most ``2 * crowd`` rows here.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["prefix", "a"])
+        rep, n = pdf["a"].to_numpy(), pdf["n_a"].to_numpy()
+        if len(rep) > forest.crowd or pdf["n_b"].min() == 0:
+            i = np.arange(len(rep) - 1)
+            j = i + 1
+        else:
+            values = np.frombuffer(b"".join(pdf["prefix"]), ">u2").reshape(-1, forest.length)
+            i, j = np.triu_indices(len(rep), 1)
+            ok = fitting(values, n, i, j, forest)
+            i, j = i[ok], j[ok]
+        turn = rep[i] > rep[j]
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        return pd.DataFrame({"a": rep[i], "b": rep[j], "n_a": n[i], "n_b": n[j]})
+
+    region = F.substring("prefix", 1, 2 * forest.depth)
+    return border.withColumn("region", region).groupBy("tree", "region").applyInPandas(run, PAIR)
+
+
 def candidates(trees: DataFrame, forest: Forest) -> DataFrame:
-    """Distinct candidate pairs, the smaller id first."""
+    """Distinct candidate pairs, the smaller id first, and the rows at partition borders.
+
+    In a border row ``n_b`` is 1 if all of its region in the partition is reported, else 0.
+    """
+
+    names = ["a", "b", "n_a", "n_b", "tree", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -216,15 +259,21 @@ def candidates(trees: DataFrame, forest: Forest) -> DataFrame:
         joined = b"".join(table.column("prefix").to_pylist())
         values = np.frombuffer(joined, ">u2").reshape(-1, forest.length).astype(np.uint16)
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        prefix = table.column("prefix")
+        for at, whole in at_borders(tree, values, forest):
+            none, flag = pa.nulls(len(at), pa.int64()), pa.array(np.full(len(at), whole), pa.int64())
+            columns = [rep[at], none, n[at], flag, tree[at], prefix.take(at).combine_chunks()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
         for i, j in neighbour_pairs(tree, values, n, forest):
             turn = rep[i] > rep[j]
             i, j = np.where(turn, j, i), np.where(turn, i, j)
             if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (rep[i], rep[j], n[i], n[j])], names=["a", "b", "n_a", "n_b"]
-                )
+                pairs = [pa.array(x) for x in (rep[i], rep[j], n[i], n[j])]
+                none = [pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())]
+                yield pa.RecordBatch.from_arrays(pairs + none, names=names)
 
-    return trees.mapInArrow(run, PAIR).groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    found = trees.mapInArrow(run, FOUND).groupBy("a", "b", "tree", "prefix")
+    return found.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
@@ -358,7 +407,9 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), doc_id: str = "d
     partitions = max(partitions, -(-classes.count() * forest.trees // forest.partition_rows))
     texts = narrow.select(F.col("doc_id").alias("rep"), "text")
 
-    pairs = settle(candidates(planted(classes, forest, partitions), forest), "pairs")
+    rows = settle(candidates(planted(classes, forest, partitions), forest), "candidates")
+    across = settle(border_pairs(rows.where("b is null"), forest), "across")
+    pairs = rows.where("b is not null").select(*across.columns).union(across)
     links = settle(confirmed(pairs, texts, forest), "links")
     found = components(links)
     groups = components(pairs).select("v", F.col("comp").alias("group"))

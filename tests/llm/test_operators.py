@@ -290,8 +290,8 @@ def exact_components(sets):
     return {i: root(i) for i in sets}
 
 
-@pytest.mark.parametrize("crowd", [48, 6])
-def test_lsh_forest(spark, crowd):
+@pytest.mark.parametrize(("crowd", "partition_rows"), [(48, 5000), (6, 100)])
+def test_lsh_forest(spark, crowd, partition_rows):
     rng = random.Random(4)
     texts = [" ".join(str(rng.randrange(400)) for _ in range(60)) for _ in range(40)]
     for _ in range(90):  # a star of near copies around one text
@@ -301,7 +301,7 @@ def test_lsh_forest(spark, crowd):
         texts.append(" ".join(copy))
     texts += [texts[1], texts[1].upper(), "one", "ONE", "two words", "", None, None, "longer " * 30_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("comp", F.lit(0))
-    forest = lsh_forest.Forest(shingle=2, crowd=crowd, portion=3000, partition_rows=5000)
+    forest = lsh_forest.Forest(shingle=2, crowd=crowd, portion=3000, partition_rows=partition_rows)
     got = {r["doc_id"]: r for r in lsh_forest.near_duplicates(df, forest).collect()}
     sets = {}
     for i, t in enumerate(texts):
@@ -312,6 +312,16 @@ def test_lsh_forest(spark, crowd):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (expected[i] == i) for i, r in got.items())
 
 
+def test_lsh_forest_regions_across_borders(spark):
+    forest = lsh_forest.Forest(length=2, depth=1, crowd=4, agree=1)
+    prefix = {1: b"\0\1\0\1", 2: b"\0\1\0\2", 3: b"\0\1\0\1", 9: b"\0\2\0\1", 10: b"\0\2\0\9"}
+    rows = [(i, None, 10, 1, 0, bytearray(p)) for i, p in prefix.items()]
+    rows += [(i, None, 10, 0, 1, bytearray(b"\0\1\0\1")) for i in (7, 6)]  # one row stands for a crowd
+    df = spark.createDataFrame(rows, lsh_forest.FOUND)
+    got = {(r["a"], r["b"]) for r in lsh_forest.border_pairs(df, forest).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (9, 10), (6, 7)}
+
+
 def test_lsh_forest_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lsh_forest.near_duplicates(df).count() == 0
