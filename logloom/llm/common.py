@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -94,15 +96,17 @@ def word_numbers(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     Returns the numbers of all texts, each text followed by number 0, its end;
     how many numbers each text has; and a 64-bit hash for each number.
     """
-    known: dict[bytes, int] = {b"": 0}
-    numbers: list[int] = []
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    known[b""] = 0
+    numbers = array("I")
     sizes = []
     for text in texts:
         words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-        numbers.extend([known.setdefault(w, len(known)) for w in words])
+        numbers.extend(map(known.__getitem__, words))
         numbers.append(0)
         sizes.append(len(words) + 1)
-    hashes = np.array([END, *(xxhash.xxh3_64_intdigest(w) for w in list(known)[1:])], np.uint64)
+    hashes = np.array([END, *map(xxhash.xxh3_64_intdigest, list(known)[1:])], np.uint64)
     return np.array(numbers, np.uint32), np.array(sizes, np.uint32), hashes
 
 
