@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # What may be broadcast after its size has been counted.
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 128 << 20
+# Spark's setting that deletes an execution's shuffle files at its end, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,10 +45,18 @@ def release(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the table read back from the shared folder."""
+    """Write ``df`` once and return the table read back from the shared folder.
+
+    What was shuffled for it is deleted as soon as the table is written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
