@@ -45,6 +45,7 @@ BIGRAM_BITS = 52
 STEPS = 16  # of a power of two, in the histogram for EM
 BUCKETS = 24  # context frequencies: 0, 1, 2-3, 4-7, ...
 LEAST_LOG = -64
+TOKENS_AT_ONCE = 1 << 18  # keeps the temporary arrays of scoring small
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -55,7 +56,7 @@ class Model:
     held_out: int = 2  # remainder of documents that nothing is learned from
     em_part: int = 3  # remainder of documents whose n-grams EM uses
     modulus: int = 7
-    block_bytes: int = 16 << 20
+    block_bytes: int = 10 << 20
     range_entries: int = 1_000_000  # entries of all blocks that one range task adds up
     rounds: int = 60
 
@@ -297,19 +298,23 @@ def cells_of(block: Block, kept_tokens: int, em_kind: int = 2) -> np.ndarray:
 def scored(block: Block, weights: np.ndarray, tokens: int, vocabulary: int, remainder_out: int = 0) -> pd.DataFrame:
     """Scores of a block's documents, by counts of all learning texts."""
     words, bigrams = block.words.sum(1), block.bigrams.sum(1)
-    count, context, both = words[block.numbers], words[block.context], bigrams[block.place]
-    base = np.log10((count + 1) / (tokens + vocabulary + 1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        first = np.where(context > 0, np.minimum(1, both / context), 0.0)
-    second, mix = count / max(1, tokens), weights[bucket(context)]
-    log = np.log10(mix[:, 0] * first + mix[:, 1] * second + mix[:, 2] / (vocabulary + 1))
+    known, base, log = np.empty(len(block.numbers), np.int64), np.empty(len(block.numbers)), np.empty(len(block.numbers))
+    for start in range(0, len(log), TOKENS_AT_ONCE):
+        at = slice(start, start + TOKENS_AT_ONCE)
+        count, context, both = words[block.numbers[at]], words[block.context[at]], bigrams[block.place[at]]
+        known[at] = count > 0
+        base[at] = np.log10((count + 1) / (tokens + vocabulary + 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            first = np.where(context > 0, np.minimum(1, both / context), 0.0)
+        second, mix = count / max(1, tokens), weights[bucket(context)]
+        log[at] = np.log10(mix[:, 0] * first + mix[:, 1] * second + mix[:, 2] / (vocabulary + 1))
     starts = np.concatenate(([0], np.cumsum(block.sizes)[:-1])).astype(np.int64)
     return pd.DataFrame(
         {
             "doc_id": block.ids,
             "held_out": block.kinds == remainder_out,
             "n_tokens": block.sizes,
-            "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
+            "n_known": np.add.reduceat(known, starts),
             "train_tokens": np.full(len(block.ids), tokens),
             "base_score": np.add.reduceat(base, starts),
             "score": np.add.reduceat(log, starts),

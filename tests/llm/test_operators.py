@@ -314,7 +314,7 @@ def test_lsh_forest(spark, crowd, partition_rows):
 
 def test_lsh_forest_regions_across_borders(spark):
     forest = lsh_forest.Forest(length=2, depth=1, crowd=4, agree=1)
-    prefix = {1: b"\0\1\0\1", 2: b"\0\1\0\2", 3: b"\0\1\0\1", 9: b"\0\2\0\1", 10: b"\0\2\0\9"}
+    prefix = {1: b"\0\1\0\1", 2: b"\0\1\0\2", 3: b"\0\1\0\1", 9: b"\0\2\0\1", 10: b"\0\2\0\7"}
     rows = [(i, None, 10, 1, 0, bytearray(p)) for i, p in prefix.items()]
     rows += [(i, None, 10, 0, 1, bytearray(b"\0\1\0\1")) for i in (7, 6)]  # one row stands for a crowd
     df = spark.createDataFrame(rows, lsh_forest.FOUND)
