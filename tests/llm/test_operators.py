@@ -322,6 +322,17 @@ def test_lsh_forest_regions_across_borders(spark):
     assert got == {(1, 2), (1, 3), (2, 3), (9, 10), (6, 7)}
 
 
+def test_lsh_forest_confirms_pairs_that_seldom_agree(spark):
+    # Similarity is 0.8 exactly; of a tree that shares the first values, at most 8 of 12 agree.
+    texts = []
+    for s in (1315, 3330, 8336, 12785, 13550):
+        w = [f"w{s}x{k}" for k in range(100)]
+        texts += [" ".join(w[:90]), " ".join(w[:80] + w[90:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(df, lsh_forest.Forest(shingle=1)).collect()}
+    assert got == {i: i - i % 2 for i in range(10)}
+
+
 def test_lsh_forest_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lsh_forest.near_duplicates(df).count() == 0
