@@ -6,8 +6,10 @@ symbols in ``c`` phrases against ``N`` symbols of labelled text cost
 ``c * log2(N) / n`` bits a symbol; the language with the fewest wins.
 
 The automata are fitted on the driver on a bounded sample: per language at most
-``sample_rows`` distinct labelled texts (the first by hash) of at most
-``sample_chars`` characters each, of which ``train_symbols`` symbols are used.
+``sample_rows`` distinct labelled texts (the first by hash, whatever their
+length), of each the first ``sample_chars`` characters from its first letter on,
+of which ``train_symbols`` symbols are used. So every language that has a
+labelled text with a letter is learned.
 They are dense tables, walked with numpy for many text segments and all
 languages in step. Whole texts are parsed. A text is cut into segments of
 ``SEGMENT`` symbols that are parsed on their own and their phrases added up,
@@ -40,7 +42,7 @@ SCORE_SYMBOLS = 32
 @dataclass(frozen=True)
 class Fit:
     sample_rows: int = 256
-    sample_chars: int = 4000
+    sample_chars: int = 4000  # of each chosen text; longer ones give a piece of this length
     train_symbols: int = 24_000
 
 
@@ -186,9 +188,12 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 
 def learn(docs: DataFrame, may_learn: Column, how: Fit = Fit(), text: str = "text", lang: str = "lang") -> Model:
     """Fit on rows where ``may_learn`` holds; what reaches the driver is bounded by ``how``."""
-    able = docs.where(
-        may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= how.sample_chars)
-    ).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("mixed"))
+    piece = F.substring(F.regexp_replace(text, r"^\P{L}++", ""), 1, how.sample_chars)
+    able = (
+        docs.where(may_learn & F.col(lang).isNotNull())
+        .select(F.col(lang).alias("lang"), piece.alias("text"), F.xxhash64(text).alias("mixed"))
+        .where("text <> ''")
+    )
     # The hashes are ranked first, so copies and long texts are not carried through the window.
     chosen = (
         able.select("lang", "mixed")

@@ -129,6 +129,17 @@ def test_cross_parsing(spark, docs, none):
     assert cross_parsing.identify(none, cross_parsing.learn(none, F.lit(True))).count() == 0
 
 
+def test_cross_parsing_learns_from_long_texts(spark):
+    how = cross_parsing.Fit(sample_chars=500)
+    texts = {"aa": ["the then other and there " * 90], "bb": ["7 " * 900 + "une queue éau un leaux " * 90, "12 34"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = cross_parsing.learn(df, F.lit(True), how)
+    assert model.languages == ["aa", "bb"] and model.sizes.max() <= how.sample_chars
+    got = [r["lang_pred"] for r in cross_parsing.identify(df, model).orderBy("doc_id").collect()]
+    assert got == ["aa", "bb", "und"]
+
+
 def test_norm_buckets(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 3])).tolist()) for i in range(300)]
