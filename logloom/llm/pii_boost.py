@@ -54,6 +54,8 @@ GENERATORS = (
     r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}(?![0-9])",
     r"(?<![0-9A-Za-z])(?:\+|00)?\x20?\(?[0-9][0-9\x20()./-]{6,22}[0-9](?![0-9])",
 )
+# In every match of the first generator; cheaper to search for, as it has no local part.
+SPELLED = rf"(?i){_AT}[a-z0-9-]{{1,63}}{_DOT}[a-z0-9-]"
 WORDS = (
     r"(?i)\b(e-?mail|mail|contact|write to|reach|courriel|correo)\b",
     r"(?i)\b(ip|host|server|address|addr|from|client|adresse)\b",
@@ -170,9 +172,8 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base spans and candidates; new columns start with ``pii_``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     has_digit = whole.rlike("[0-9]")
-    spelled = whole.contains("@") | whole.rlike(r"(?i)[(\[{]at[)\]}]|\x20dot\x20")
     guards = (whole.contains("@"), has_digit & whole.contains("."), has_digit, has_digit & whole.contains("+"))
-    wide = (spelled, has_digit & whole.contains("."), has_digit, has_digit)
+    wide = (whole.rlike(SPELLED), has_digit & whole.contains("."), has_digit, has_digit)
     none = F.array().cast("array<string>")
     marked = docs.withColumns(
         {

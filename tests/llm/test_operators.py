@@ -205,6 +205,19 @@ def test_pii(spark, docs, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pii_spelled_addresses_without_at_sign(spark):
+    ats = ("@", "(at)", " [at] ", "{AT}", " at ", " At ")
+    dots = (".", "[.]", " (dot) ", "[dot]", " {DOT} ", " dot ")
+    texts = [f"contact jane{a}example{d}com" for a in ats for d in dots] + ["look at this. then", "no address (at) all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii_boost.with_spans(df).orderBy("doc_id").collect()
+    found = [[(c["start"], c["end"]) for c in r["pii_candidates"] if c["kind"] == 0] for r in rows]
+    # What the generator finds, whatever else the text holds.
+    whole = re.compile(pii_boost.GENERATORS[0])
+    assert found == [[m.span() for m in whole.finditer(t)] for t in texts]
+    assert all(found[:-2]) and not found[-1]
+
+
 def test_packing(spark, docs, none):
     caps = capacity_packing.Capacities(sizes=(16, 64, 128), shard_pieces=50)
     length = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
