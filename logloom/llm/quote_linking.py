@@ -3,12 +3,15 @@
 A line's quote level is the number of ``>`` marks before its text, with spaces
 between them or not. Level 0 lines are the message's own; a line that only
 introduces a quotation ("... wrote:" right before a quoted line) is dropped
-with it. Adjacent quoted lines of one level form a passage. Own lines and
-quoted passages are normalised (lower case, single spaces, no marks) and
-hashed by line; a quoted line is linked to the latest earlier message of the
-conversation that has that line as its own. The message with the most linked
-characters is the one replied to, the latest if several tie. A message without
-a linked quotation continues the one before it.
+with it. Adjacent quoted lines of one level form a passage. Lines are normalised
+(lower case, single spaces, no marks; blank ones do not count). A passage is
+hashed whole, by every two lines that follow each other, and by line; own text
+is hashed whole, by stretch between quotations, by paragraph, by twos and by
+line. Each hash is linked to the latest earlier message of the conversation
+that has it as its own. Of a passage only the widest kind that is linked counts:
+the whole, else twos, else lines. Of the shallowest level that is linked, the
+message with the most linked characters is the one replied to, the latest if
+several tie. A message without a linked quotation continues the one before it.
 
 A branch is a run of messages each continuing the one before it; a linked
 reply to an older message opens a new branch. ``branch`` is the position of
@@ -27,6 +30,7 @@ are ordered by role and text; equal rows stay, each with a position of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import regex
@@ -38,7 +42,7 @@ from logloom.sources.scratch import settle
 
 QUOTED = regex.compile(r"^[\x20\t]*((?:>[\x20\t]*)+)(.*)$")
 INTRODUCES = regex.compile(r":[\x20\t]*$")
-PARSED = "own string, own_lines array<struct<hash:long,size:int>>, quoted array<struct<hash:long,size:int,level:int>>, n_quoted_lines int, max_level int"
+PARSED = "own string, own_lines array<struct<hash:long,size:int>>, quoted array<struct<hash:long,size:int,level:int,passage:int,rank:int>>, n_quoted_lines int, max_level int"
 TURNS_A_BLOCK = 1024
 
 
@@ -50,19 +54,26 @@ def hashed(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """A message's own text, and its quoted lines with their level."""
-    own, quoted = [], []
+def parse(text: str | None) -> tuple[str, list[tuple[int, str]], list[list[str]], list[tuple[int, list[str]]]]:
+    """A message's own text, its quoted lines with their level, its own stretches, and its passages with their level."""
+    own, quoted, passages = [], [], []
     for line in (text or "").split("\n"):
         mark = QUOTED.match(line)
         if mark is None:
             own.append(line)
             continue
-        if own and not quoted_last(own, quoted) and INTRODUCES.search(own[-1]) and own[-1].strip():
+        adjoins = quoted_last(own, quoted)
+        if own and not adjoins and INTRODUCES.search(own[-1]) and own[-1].strip():
             own.pop()
-        quoted.append((mark[1].count(">"), mark[2]))
+        level = mark[1].count(">")
+        if adjoins and passages[-1][0] == level:
+            passages[-1][1].append(mark[2])
+        else:
+            passages.append((level, [mark[2]]))
+        quoted.append((level, mark[2]))
         own.append(None)
-    return "\n".join(x for x in own if x is not None).strip("\n"), quoted
+    stretches = [list(g) for is_own, g in groupby(own, key=lambda x: x is not None) if is_own]
+    return "\n".join(x for x in own if x is not None).strip("\n"), quoted, stretches, passages
 
 
 def quoted_last(own: list, quoted: list) -> bool:
@@ -70,18 +81,41 @@ def quoted_last(own: list, quoted: list) -> bool:
     return bool(quoted) and own[-1] is None
 
 
+def normals(lines: list[str]) -> list[str]:
+    return [n for line in lines if (n := normal(line))]
+
+
+def paragraphs(lines: list[str]) -> list[list[str]]:
+    """Runs of lines with text."""
+    return [list(g) for filled, g in groupby((normal(x) for x in lines), key=bool) if filled]
+
+
+def twos(lines: list[str]) -> list[list[str]]:
+    return [lines[i : i + 2] for i in range(len(lines) - 1)]
+
+
 def parsed(text: str | None) -> tuple:
-    own, quoted = parse(text)
-    own_lines = {hashed(n): len(n) for line in own.split("\n") if (n := normal(line))}
-    links: dict[int, tuple[int, int]] = {}
-    for level, line in quoted:
-        if n := normal(line):
-            known = links.get(hashed(n))
-            links[hashed(n)] = (len(n), min(level, known[1]) if known else level)
+    own, quoted, stretches, passages = parse(text)
+    own_units: dict[int, int] = {}
+    for stretch in [*stretches, own.split("\n")]:
+        lines = normals(stretch)
+        for unit in [lines, *paragraphs(stretch), *twos(lines), *([x] for x in lines)]:
+            if unit:
+                own_units[hashed("\n".join(unit))] = sum(map(len, unit))
+    known: dict[tuple[str, ...], int] = {}
+    for level, block in passages:
+        if lines := tuple(normals(block)):
+            known[lines] = min(level, known.get(lines, level))
+    links: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for passage, (key, level) in enumerate(known.items()):
+        lines = list(key)
+        for rank, units in ((0, [lines]), (1, twos(lines)), (2, [[x] for x in lines])):
+            for unit in units:
+                links.setdefault((passage, hashed("\n".join(unit))), (sum(map(len, unit)), level, rank))
     return (
         own,
-        [{"hash": h, "size": s} for h, s in own_lines.items()],
-        [{"hash": h, "size": s, "level": v} for h, (s, v) in links.items()],
+        [{"hash": h, "size": s} for h, s in own_units.items()],
+        [{"hash": h, "size": s, "level": v, "passage": p, "rank": r} for (p, h), (s, v, r) in links.items()],
         len(quoted),
         max((v for v, _ in quoted), default=0),
     )
@@ -135,14 +169,14 @@ def link(
     table = settle(numbered.mapInPandas(run, schema), "messages")
 
     quotes = table.select("conv_id", "position", F.explode("quoted").alias("q")).select(
-        "conv_id", F.col("q.hash").alias("hash"), F.col("q.size").alias("size"), "position"
+        "conv_id", "position", *[F.col(f"q.{c}").alias(c) for c in ("hash", "size", "level", "passage", "rank")]
     )
     asked = quotes.select(F.col("conv_id").alias("a_conv"), F.col("hash").alias("a_hash")).distinct()
-    # Only lines that something quotes go further.
+    # Only what something quotes goes further.
     originals = (
         table.select("conv_id", "position", F.explode("own_lines.hash").alias("hash"))
         .join(asked, same("conv_id", "a_conv") & (F.col("hash") == F.col("a_hash")), "left_semi")
-        .withColumn("size", F.lit(0))
+        .withColumns({c: F.lit(0) for c in ("size", "level", "passage", "rank")})
     )
     both = (
         originals.withColumn("is_quote", F.lit(False))
@@ -165,8 +199,12 @@ def link(
         .withColumn("target", F.coalesce("found", "carried"))
         .where(F.col("target").isNotNull())
     )
-    votes = linked.groupBy("conv_id", "position", "target").agg(F.sum("size").alias("size"))
-    chosen = votes.groupBy("conv_id", "position").agg(F.max(F.struct("size", "target")).alias("best"))
+    widest = F.min("rank").over(Window.partitionBy("conv_id", "position", "passage"))
+    counted = linked.withColumn("widest", widest).where("rank = widest")
+    votes = counted.groupBy("conv_id", "position", "level", "target").agg(F.sum("size").alias("size"))
+    # The shallowest level comes first.
+    order = F.struct((-F.col("level")).alias("depth"), "size", "target")
+    chosen = votes.groupBy("conv_id", "position").agg(F.max(order).alias("best"))
     chosen = chosen.select(
         F.col("conv_id").alias("l_conv"), F.col("position").alias("l_position"), F.col("best.target").alias("target")
     )

@@ -259,6 +259,29 @@ def test_quotes(spark):
     assert quote_linking.link(df.limit(0)).count() == 0
 
 
+def test_quotes_nested_and_in_passages(spark):
+    rows = [
+        (1, 0, "A rather long first message about many things", 0),
+        (1, 1, "> A rather long first message about many things\nOK", 0),
+        (1, 2, "something else", 1),
+        # The deeper passage is longer than the one of the message replied to.
+        (1, 3, "m wrote:\n>> A rather long first message about many things\n> OK\nmine", 1),
+        (2, 0, "Thanks a lot for this\nBye\nmore", 0),
+        (2, 1, "so what", 0),
+        (2, 2, "Thanks a lot for this\nno", 1),
+        # Of the whole passage, not of the common line in it; two paragraphs; a part of the lines.
+        (2, 3, "> Thanks a lot for this\n> Bye\nwell", 0),
+        (2, 4, "One\ntwo\n\nThree\nfour", 3),
+        (2, 5, "Three", 4),
+        (2, 6, "> One\n> two\n>\n> Three\n> four\nyes", 4),
+        (2, 7, "> two\n> three\n> four\n> and what I add\nno", 4),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x, _ in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["position"]): r for r in quote_linking.link(df).collect()}
+    assert {k: r["reply_to"] for k, r in got.items()} == {(c, t): x if t else None for c, t, _, x in rows}
+    assert got[1, 3]["body"] == "mine" and got[1, 3]["max_level"] == 2 and got[1, 3]["n_quoted_lines"] == 2
+
+
 def test_language_model(docs, none):
     model = deleted_interpolation.Model(block_bytes=3000, range_entries=10)
     rows = deleted_interpolation.score(docs, model).collect()
