@@ -19,10 +19,13 @@ from logloom.llm import (
     quality_trees,
     quote_linking,
     rank_queue_bpe,
+    token_cache,
 )
 from logloom.llm.common import read_table, remainder
+from logloom.sources.scratch import scratch_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+COUNTED = "word_bpe_49k.json"
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,12 @@ def op10_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_queue_bpe.encode_digests(texts(spark, sf_dir), path, public_tokenizers.PATTERN).drop("text")
 
 
+def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache, so the figures are those of the whole work."""
+    vocabulary = token_cache.Vocabulary.read(public_tokenizers.path(COUNTED))
+    return token_cache.count_tokens(texts(spark, sf_dir), vocabulary, scratch_path(spark, "token-cache"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_trees,
         op9_lsh_forest,
         op10_rank_queue_bpe,
+        op12_digest_cache,
     )
 }
 
