@@ -13,6 +13,7 @@ from logloom.llm import (
     compression_bands,
     cross_parsing,
     deleted_interpolation,
+    importance_sampling,
     lsh_forest,
     norm_buckets,
     pii_boost,
@@ -101,6 +102,10 @@ def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(texts(spark, sf_dir), vocabulary, scratch_path(spark, "token-cache"))
 
 
+def op13_regular_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.resample(texts(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lsh_forest,
         op10_rank_queue_bpe,
         op12_digest_cache,
+        op13_regular_sampling,
     )
 }
 
@@ -136,4 +142,49 @@ ORACLES = {
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
     """,
+    "op13_regular_sampling": r"""
+        WITH steps AS (
+            SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                        lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t
+            FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))
+        ), doc_words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), target_words AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+            FROM benchmark
+        ), features AS (SELECT doc_id, unnest(words) AS word FROM doc_words
+        ), distinct_words AS (SELECT word FROM features UNION SELECT word FROM target_words
+        ), hashed AS (
+            SELECT word, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(length(hex(word)) // 2),
+                    lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(hex(word), 2 * i + 1, 1)) - 1)
+                        + instr('0123456789ABCDEF', substr(hex(word), 2 * i + 2, 1)) - 1 AS BIGINT))),
+                lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) % 10000 AS bucket
+            FROM distinct_words, steps
+        ), corpus AS (SELECT bucket, count(*) AS n FROM features JOIN hashed USING (word) GROUP BY bucket
+        ), target AS (SELECT bucket, count(*) AS n FROM target_words JOIN hashed USING (word) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(
+                CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM features) + 10000 AS DOUBLE)
+                / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM target_words) + 10000 AS DOUBLE))
+                )) AS BIGINT) AS gain
+            FROM corpus s FULL JOIN target t USING (bucket)
+        ), weighed AS (
+            SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+            FROM features JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+        ), scored AS (
+            SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score
+            FROM (SELECT *, CAST(CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS DOUBLE) AS h FROM doc_words) d
+            LEFT JOIN weighed w ON w.doc_id = d.doc_id
+        ), ranked AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+            FROM scored WHERE n_features >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+        FROM scored LEFT JOIN ranked USING (doc_id)
+    """,
 }
