@@ -16,6 +16,7 @@ from logloom.llm import (
     importance_sampling,
     lsh_forest,
     norm_buckets,
+    phrase_mining,
     pii_boost,
     quality_trees,
     quote_linking,
@@ -96,6 +97,10 @@ def op10_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_queue_bpe.encode_digests(texts(spark, sf_dir), path, public_tokenizers.PATTERN).drop("text")
 
 
+def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache, so the figures are those of the whole work."""
     vocabulary = token_cache.Vocabulary.read(public_tokenizers.path(COUNTED))
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_trees,
         op9_lsh_forest,
         op10_rank_queue_bpe,
+        op11_fm_index,
         op12_digest_cache,
         op13_regular_sampling,
     )
@@ -142,6 +148,46 @@ ORACLES = {
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
     """,
+    "op11_fm_index": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), cut AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+                       lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM cut, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+        ), sizes AS (SELECT lang, sum(len(w)) AS n FROM cut GROUP BY lang
+        ), longer AS (
+            SELECT lang, f, string_split(phrase, ' ') AS w, k, unnest(range(2, k)) AS size FROM f WHERE k > 2
+        ), inside AS (
+            SELECT lang, f, unnest(list_transform(range(1, k - size + 2),
+                       lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+            FROM longer
+        ), covered AS (SELECT lang, phrase, max(f) AS most FROM inside GROUP BY ALL
+        ), cuts AS (
+            SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+            FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1)
+        ), scored AS (
+            SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first
+            JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ), ranked AS (
+            SELECT lang, phrase, a, l, r, n, score,
+                   row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM lowest LEFT JOIN covered USING (lang, phrase) JOIN sizes USING (lang)
+            WHERE most IS NULL OR 100 * most < 80 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000
+    """,
     "op13_regular_sampling": r"""
         WITH steps AS (
             SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
