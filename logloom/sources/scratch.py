@@ -40,17 +40,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete what this application wrote under the shared folder; tables read from it are gone then."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/logloom/{spark.sparkContext.applicationId}")
+    delete_folder(spark, f"{scratch_root(spark)}/logloom/{spark.sparkContext.applicationId}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and return the table read back from the shared folder.
 
-    What was shuffled for it is deleted as soon as the table is written.
+    What was shuffled for it is deleted as soon as the table is written. A
+    caller that names the ``path`` may delete the table when it is used up.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     before = spark.conf.get(SHUFFLE_CLEANUP)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
