@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import LOWER
-from logloom.sources.scratch import scratch_path, settle
+from logloom.sources.scratch import delete_folder, scratch_path, settle
 
 # Bytes that end a piece; a full stop stands for them between words. Tabs become spaces.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -63,7 +63,7 @@ class Phrases:
     scale: int = 2_000_000
     covered: int = 80  # per cent of a phrase's occurrences, inside one longer phrase, that drop it
     top: int = 2000  # phrases reported for each language
-    shard_bytes: int = 12 << 20
+    shard_bytes: int = 8 << 20
 
 
 def squash(values: np.ndarray) -> bytes:
@@ -85,37 +85,49 @@ class Shard:
 
     def __init__(self) -> None:
         self.known: dict[str, Numbers] = {}
-        self.keys: list[tuple[str, bytes]] = [("", b"")]
+        self.words: list[bytes] = [b""]
         self.parts: list[np.ndarray] = [np.zeros(1, np.uint32)]
         self.held = 0
 
     def add(self, lang: str, raw: bytes) -> None:
         """``raw``: bytes in which a word ``.`` ends a piece."""
-        known = self.known.setdefault(lang, Numbers(lang, self.keys))
+        if lang not in self.known:
+            self.known[lang] = Numbers(self.words)
         words = raw.split()
-        numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        numbers = np.fromiter(map(self.known[lang].__getitem__, words), np.uint32, len(words))
         self.parts += [numbers, np.zeros(1, np.uint32)]
         self.held += len(raw)
 
-    def rows(self, name: str) -> Iterator[tuple]:
-        numbers = np.concatenate(self.parts)
-        counts = np.bincount(numbers, minlength=len(self.keys))
-        for place, (lang, word) in enumerate(self.keys[1:], 1):
-            yield name, lang, word.decode("utf-8", "replace"), place, int(counts[place]), None
-        yield name, None, None, None, None, squash(numbers)
+    def table(self, name: str) -> pa.Table:
+        """A row for each word, and one for the sequence."""
+        numbers, size = np.concatenate(self.parts), len(self.words)
+        langs = np.zeros(size, np.int32)
+        for at, own in enumerate(self.known.values()):
+            places = np.fromiter(own.values(), np.int64, len(own))
+            langs[places[places > 0]] = at
+        blank = np.arange(size) == 0  # the row of the sequence
+        columns = {
+            "shard": pa.array([name]).take(pa.array(np.zeros(size, np.int32))),
+            "lang": pa.array([*self.known, ""], pa.string()).take(pa.array(langs, mask=blank)),
+            "word": pa.array([None, *self.words[1:]], pa.binary()).cast(pa.string()),
+            "place": pa.array(np.arange(size, dtype=np.int32), mask=blank),
+            "n": pa.array(np.bincount(numbers, minlength=size), mask=blank),
+            "words": pa.array([squash(numbers), *[None] * (size - 1)], pa.binary()),
+        }
+        return pa.table(columns)
 
 
 class Numbers(dict):
-    """Number of each word of a language in a shard."""
+    """Number of each word of a language in a shard; ``words`` has those of all languages."""
 
-    def __init__(self, lang: str, keys: list) -> None:
+    def __init__(self, words: list[bytes]) -> None:
         super().__init__({b".": 0})
-        self.lang, self.keys = lang, keys
+        self.words = words
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = len(self.keys)
-        self.keys.append((self.lang, word))
-        return self[word]
+        found = self[word] = len(self.words)
+        self.words.append(word)
+        return found
 
 
 def parts_of(text: str | None, size: int) -> Iterator[bytes]:
@@ -130,26 +142,18 @@ def parts_of(text: str | None, size: int) -> Iterator[bytes]:
 
 def shards(docs: DataFrame, phrases: Phrases) -> DataFrame:
     """Rows of words (shard, lang, word, place, n), and one row of each shard's sequence. ``docs``: lang, text."""
-    names = ["shard", "lang", "word", "place", "n", "words"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Shards and counts are written together, so a name only has to differ inside the table.
         partition, number, shard = TaskContext.get().partitionId(), 0, Shard()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = list(zip(*shard.rows(f"{partition}-{number}"), strict=True))
-            table = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-            yield from table.to_batches(max_chunksize=1 << 15)
-
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part in parts_of(text.as_py(), phrases.shard_bytes):
                     shard.add(lang, part)
                     if shard.held >= phrases.shard_bytes:
-                        yield from flush()
+                        yield from shard.table(f"{partition}-{number}").to_batches(max_chunksize=1 << 15)
                         number, shard = number + 1, Shard()
-        yield from flush()
+        yield from shard.table(f"{partition}-{number}").to_batches(max_chunksize=1 << 15)
 
     return docs.mapInArrow(run, FIRST_ROW)
 
@@ -390,17 +394,16 @@ def mine(docs: DataFrame, phrases: Phrases = Phrases(), lang: str = "lang", text
     """
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
-    path = scratch_path(spark, "shards")
+    folder = scratch_path(spark, "phrases")
     made = shards(source, phrases).withColumn("what", F.when(F.col("words").isNull(), "word").otherwise("shard"))
-    made.write.partitionBy("what").parquet(path)
-    written = spark.read.schema(f"{FIRST_ROW}, what string").parquet(path)
+    made.write.partitionBy("what").parquet(f"{folder}/shards")
+    written = spark.read.schema(f"{FIRST_ROW}, what string").parquet(f"{folder}/shards")
     words, sequences = written.where("what = 'word'"), written.where("what = 'shard'")
 
     sums = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     sizes = settle(sums.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     frequent = sums.where(F.col("f") >= phrases.least).join(sizes, "lang")
-    one = F.array("f")
-    none, word = F.lit(0).cast("long"), F.col("word")
+    none, word, one = F.lit(0).cast("long"), F.col("word"), F.array("f")
     frequent = numbered(frequent).select(
         "id",
         none.alias("left"),
@@ -412,24 +415,36 @@ def mine(docs: DataFrame, phrases: Phrases = Phrases(), lang: str = "lang", text
         one.alias("heads"),
         one.alias("tails"),
     )
-    frequent = settle(frequent, "phrases-1")
-    named = frequent.select("id", "lang", F.col("phrase").alias("word"))
+    tables = [settle(frequent, "phrases-1")]
+    named = tables[0].select("id", "lang", F.col("phrase").alias("word"))
     answers = words.select("shard", "place", "lang", "word").join(named, ["lang", "word"]).select("shard", "place", "id")
-    state, tables = settle(first_state(sequences, answers), "state-1"), [frequent]
+    state = settle(first_state(sequences, answers), "state", f"{folder}/state-1")
+    delete_folder(spark, f"{folder}/shards")
     for depth in range(2, phrases.longest + 1):
-        counts = shard_counts(state, depth)
+        # Read twice: for the sums, and for what each shard has to know of them.
+        counts = settle(shard_counts(state, depth), "counts", f"{folder}/counts-{depth}")
         sums = counts.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= phrases.least)
         sums = settle(numbered(sums), f"sums-{depth}")
         if depth < phrases.longest:
             found = counts.select("shard", "left", "right").join(sums.select("left", "right", "id"), ["left", "right"])
-            state = settle(next_state(state, found.select("shard", "left", "right", "id"), depth), f"state-{depth}")
-        before = tables[-1]
-        left = before.select(
-            F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("begins"), F.col("heads").alias("begin_counts")
-        )
-        right = before.select(F.col("id").alias("right"), "last", F.col("tails").alias("end_counts"))
-        joined = sums.join(left, "left").join(right, "right")
-        table = joined.select(
+            state = settle(next_state(state, found, depth), "state", f"{folder}/state-{depth}")
+        delete_folder(spark, f"{folder}/state-{depth - 1}")
+        delete_folder(spark, f"{folder}/counts-{depth}")
+        tables.append(settle(longer(sums, tables[-1]), f"phrases-{depth}"))
+    return tables
+
+
+def longer(sums: DataFrame, parts: DataFrame) -> DataFrame:
+    """The table of frequent phrases from their sums (id, left, right, f) and the table of their parts."""
+    left = parts.select(
+        F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("begins"), F.col("heads").alias("begin_counts")
+    )
+    right = parts.select(F.col("id").alias("right"), "last", F.col("tails").alias("end_counts"))
+    own = F.array("f")
+    return (
+        sums.join(left, "left")
+        .join(right, "right")
+        .select(
             "id",
             "left",
             "right",
@@ -437,11 +452,10 @@ def mine(docs: DataFrame, phrases: Phrases = Phrases(), lang: str = "lang", text
             F.concat_ws(" ", "begins", "last").alias("phrase"),
             "last",
             "n",
-            F.concat("begin_counts", one).alias("heads"),
-            F.concat("end_counts", one).alias("tails"),
+            F.concat("begin_counts", own).alias("heads"),
+            F.concat("end_counts", own).alias("tails"),
         )
-        tables.append(settle(table, f"phrases-{depth}"))
-    return tables
+    )
 
 
 # --- scores --------------------------------------------------------------------
@@ -470,8 +484,8 @@ def collocations(
         a = F.col("heads")[words - 1]
         rows = table.select("id", "lang", "phrase", "n", a.alias("a"), lowest_cut(words, phrases.scale).alias("cut"))
         if words < phrases.longest:
-            longer = tables[words].select("left", "right", F.col("heads")[words].alias("f"))
-            around = longer.select(F.col("left").alias("id"), "f").union(longer.select("right", "f"))
+            extended = tables[words].select("left", "right", F.col("heads")[words].alias("f"))
+            around = extended.select(F.col("left").alias("id"), "f").union(extended.select("right", "f"))
             most = around.groupBy("id").agg(F.max("f").alias("f"))
             much = F.col("f").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * phrases.covered
             rows = rows.join(most, "id", "left").where(~F.coalesce(much, F.lit(False))).drop("f")
