@@ -12,11 +12,12 @@ the same, with two exceptions, in which the case stays: a text with ``<|`` (a
 special token is only recognised as it is written) and a text with a combining
 mark (letter and mark may have a composed form in one case only).
 
-Only digests are joined to the cache. The texts to encode are fetched by
-(id, digest) of their smallest id: without moving any text if so few are missing
-that their list may be broadcast, else by shuffle. Copies are one row in both
-joins, so nothing depends on how many there are. Texts are encoded in pieces cut
-at white space, where no token, special token or composed letter can cross.
+Only digests are joined to the cache. The texts to encode, one for each digest
+that is missing, are fetched by their id and a hash of the text; Spark moves no
+text for that if the list of them is small, else all texts once. Copies are one
+row in all joins but the last, where Spark may split them. No token, special
+token or composed letter crosses ASCII white space, so a text is encoded as its
+words, and a task encodes a word once while it remembers it.
 
 Defined results: null counts as empty and has no token. Every row gets its row,
 repeated ones too. A null id stays null. Rows written twice by jobs that ran at
@@ -31,21 +32,21 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import tokenizers
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import annotate, field
+from logloom.llm.common import LOWER, annotate, field
 from logloom.sources.scratch import settle
 
-SPACE = r"[ \t\n\x0B\f\r]+"
-KEEPS_CASE = r"<\||\p{M}"
+KEEPS_CASE = re.compile("[\u0300-\u036f]")
 RULE = "ascii-space,ascii-lower/1"
 CACHE_ROW = "tokenizer string, content binary, n_tokens long"
-# A list of missing texts of at most so many rows, of about 100 bytes, is broadcast.
-FEW_MISSING = 100_000
-PIECE_CHARS = 1 << 17
+REMEMBERED = 400_000  # words whose counts a task remembers
+LONG_WORD = 64  # bytes; longer ones are not remembered
+AT_ONCE = 20_000  # words given to the library together
 
 
 @dataclass(frozen=True)
@@ -65,29 +66,14 @@ class Vocabulary:
         return hashlib.sha256(parts.encode()).hexdigest()
 
 
-def normalised(text: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(spaced.rlike(KEEPS_CASE), spaced).otherwise(F.translate(spaced, letters, letters.lower()))
+def content(text: str | None) -> bytes:
+    """Digest of the normalised text."""
+    spaced = b" ".join((text or "").encode("utf-8", "replace").split())
+    if b"<|" not in spaced and (text is None or text.isascii() or not KEEPS_CASE.search(text)):
+        spaced = spaced.translate(LOWER)
+    return hashlib.sha256(spaced).digest()
 
 
-def content_digest(text: Column) -> Column:
-    return F.unhex(F.sha2(normalised(text), 256))
-
-
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """The text in parts of about ``size`` characters, cut in front of ASCII white space."""
-    start = 0
-    while len(text) - start > size:
-        found = _BREAK.search(text, start + size)
-        if found is None:
-            break
-        yield text[start : found.start()]
-        start = found.start()
-    yield text[start:]
-
-
-_BREAK = re.compile(r"[ \t\n\r]")
 _LOADED: dict[str, tokenizers.Tokenizer] = {}
 
 
@@ -103,12 +89,30 @@ def loaded(json: str) -> tokenizers.Tokenizer:
     return _LOADED[key]
 
 
-def counts(texts: list[str | None], tokenizer: tokenizers.Tokenizer) -> list[int]:
-    out = []
-    for text in texts:
-        parts = tokenizer.encode_batch_fast(list(pieces(text or "")), add_special_tokens=False)
-        out.append(sum(map(len, parts)))
-    return out
+class Counter:
+    """Token counts of texts, word by word."""
+
+    def __init__(self, tokenizer: tokenizers.Tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.known: dict[bytes, int] = {}
+
+    def encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, int]]:
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            yield from zip(part, map(len, found), strict=True)
+
+    def __call__(self, texts: list[str | None]) -> list[int]:
+        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = set(chain.from_iterable(split)).difference(self.known)
+        long = [w for w in new if len(w) > LONG_WORD]
+        self.known.update(self.encoded(list(new.difference(long))))
+        brief = dict(self.encoded(long))
+        if not brief:
+            return [sum(map(self.known.__getitem__, words)) for words in split]
+        return [sum(self.known[w] if w in self.known else brief[w] for w in words) for words in split]
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
@@ -120,15 +124,23 @@ def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     return rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def encoded(wanted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(content, n_tokens) of the texts in ``wanted`` (content, text)."""
-    shared = wanted.sparkSession.sparkContext.broadcast(vocabulary.json)
+def digested(source: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, content, and a hash of the text itself."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = source.withColumns({"n_bytes": size, "raw": F.xxhash64("text")})
+    work = lambda texts: [list(map(content, texts))]
+    return annotate(rows, lambda: work, [field("content", "binary")], "text").drop("text")
+
+
+def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(content, n_tokens) of column ``text``."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.json)
 
     def start():
-        tokenizer = loaded(shared.value)
-        return lambda texts: [counts(texts, tokenizer)]
+        count = Counter(loaded(shared.value))
+        return lambda texts: [list(map(content, texts)), count(texts)]
 
-    rows = annotate(wanted, start, [field("n_tokens", "long")], "text").drop("text")
+    rows = annotate(texts, start, [field("content", "binary"), field("n_tokens", "long")], "text")
     return rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
 
@@ -143,23 +155,15 @@ def count_tokens(
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit. ``cache`` is the cache's folder."""
     spark, version = docs.sparkSession, vocabulary.digest
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    digested = source.withColumn("content", content_digest(F.col("text")))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    keys = settle(digested.select("doc_id", size.alias("n_bytes"), "content"), "digests")
-
-    seen = Observation()
-    missing = F.count_if(F.col("n_tokens").isNull())
-    distinct = keys.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    found = distinct.join(read_cache(spark, cache, version), "content", "left")
-    found = settle(found.observe(seen, missing.alias("missing")), "found")
-    wanted = found.where("n_tokens is null").select(
-        F.col("content").alias("wanted"), F.col("doc_id").alias("wanted_id")
-    )
-    if seen.get["missing"] <= FEW_MISSING:
-        wanted = F.broadcast(wanted)
-    same = (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    texts = digested.join(wanted, same, "left_semi").select("content", "text")
-    fresh = settle(encoded(texts, vocabulary), "fresh")
+    keys = settle(digested(source), "digests")
+
+    distinct = keys.groupBy("content").agg(F.min(F.struct("doc_id", "raw")).alias("one"))
+    found = settle(distinct.join(read_cache(spark, cache, version), "content", "left"), "found")
+    # A table of its own, so that its size tells Spark how to join.
+    missing = found.where("n_tokens is null").select(F.col("one.doc_id").alias("wanted_id"), F.col("one.raw").alias("wanted"))
+    missing = settle(missing, "missing")
+    same = (F.xxhash64("text") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    fresh = settle(encoded(source.join(missing, same, "left_semi").select("text"), vocabulary), "fresh")
     new = fresh.select(F.lit(version).alias("tokenizer"), "content", "n_tokens")
     new.write.mode("append").partitionBy("tokenizer").parquet(cache)
 

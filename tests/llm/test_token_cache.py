@@ -9,11 +9,10 @@ import pytest
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from logloom.llm import token_cache
 from logloom.llm.queries import QUERIES
-from logloom.llm.token_cache import Vocabulary, content_digest, count_tokens, counts, pieces
+from logloom.llm.token_cache import Counter, Vocabulary, content, count_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, content string, n_tokens string, tokenizer string"
@@ -66,9 +65,9 @@ def test_only_distinct_misses_are_encoded(spark, vocabulary, plain, tmp_path, mo
     cache, seen = f"{tmp_path}/cache", []
     whole = token_cache.encoded
 
-    def watched(wanted, vocabulary):
-        seen.append(sorted(r["text"] for r in wanted.collect()))
-        return whole(wanted, vocabulary)
+    def watched(texts, vocabulary):
+        seen.append(sorted(r["text"] for r in texts.collect()))
+        return whole(texts, vocabulary)
 
     monkeypatch.setattr(token_cache, "encoded", watched)
     first, second = ["a b", "A  b", "c d"], ["c D ", "e f", "e f"]
@@ -100,10 +99,15 @@ def test_rows_appended_twice_count_once(spark, vocabulary, plain, tmp_path):
     )
 
 
-def test_texts_are_fetched_by_shuffle_when_many_are_missing(spark, vocabulary, plain, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_cache, "FEW_MISSING", 1)
-    rows = list(enumerate(TEXTS))
-    assert result(count_tokens(table(spark, TEXTS), vocabulary, f"{tmp_path}/cache")) == expected(rows, plain)
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_texts_are_fetched_with_and_without_a_shuffle(spark, vocabulary, plain, tmp_path, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = result(count_tokens(table(spark, TEXTS), vocabulary, f"{tmp_path}/cache"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == expected(enumerate(TEXTS), plain)
 
 
 def test_empty_table(spark, vocabulary, tmp_path):
@@ -114,23 +118,30 @@ ALPHABET = "aAbIJÉéß'<|>endoftx \t\n ̱̌́̇Σς1２漢😀 "
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(ALPHABET, max_size=40), st.integers(1, 9))
-def test_pieces_have_the_tokens_of_the_whole(text, size):
+@given(st.lists(st.text(ALPHABET, max_size=40), max_size=4))
+def test_words_have_the_tokens_of_the_whole(texts):
     tokenizer = token_cache.loaded(Vocabulary.read(PATH).json)
-    parts = list(pieces(text, size))
-    assert "".join(parts) == text
-    assert sum(counts(parts, tokenizer)) == counts([text], tokenizer)[0]
+    whole = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert Counter(tokenizer)(texts) == whole
 
 
-def test_equal_digests_mean_equal_counts(spark, plain):
+def test_words_that_are_forgotten(monkeypatch, plain):
+    monkeypatch.setattr(token_cache, "REMEMBERED", 3)
+    count = Counter(token_cache.loaded(Vocabulary.read(PATH).json))
+    rng = random.Random(8)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["a", "Bb", "ccc", "y" * 90, "ü" * 40, "é!"]) for _ in range(9)), None, ""]
+        assert count(texts) == [plain(t) for t in texts]
+
+
+def test_equal_digests_mean_equal_counts(plain):
     rng = random.Random(5)
-    specials = ["<|endoftext|>", "<|EndOfText|>", "J̌", "İ", " "]
+    specials = ["<|endoftext|>", "<|EndOfText|>", "J̌", "İ", " "]
     texts = ["".join(rng.choice([*ALPHABET, *specials]) for _ in range(rng.randint(0, 6))) for _ in range(4000)]
     texts += [t.lower() for t in texts[:2000]] + [f" {t}  " for t in texts[:500]]
-    rows = table(spark, texts).select("text", F.hex(content_digest(F.col("text"))).alias("d")).collect()
     by_digest = {}
-    for text, digest in rows:
-        by_digest.setdefault(digest, set()).add(plain(text))
+    for text in texts:
+        by_digest.setdefault(content(text), set()).add(plain(text))
     assert len(by_digest) < len(set(texts)) and all(len(x) == 1 for x in by_digest.values())
 
 
