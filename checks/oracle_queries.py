@@ -232,12 +232,17 @@ ORACLES: dict[str, str] = {
     "parse_text_files": with_file_events(
         f"SELECT {SHORT}, ts AS timestamp, frame, {CONT} AS continuation, raw_text_hash FROM ev"
     ),
+    "parse_compressed_files": with_file_events(
+        f"SELECT {SHORT}, ts AS timestamp, frame, {CONT} AS continuation, raw_text_hash FROM ev"
+    ),
     "skip_blank_lines": with_lines("SELECT source_id, line_number, value FROM lines WHERE trim(value) <> ''"),
     "source_contract": flat_events(),
     "ndjson_roundtrip": flat_events(),
-    "sink_json": with_events(
-        f"SELECT source_id, line_number, {_iso('ts')} AS timestamp, cast(NULL AS varchar) AS relative_time, "
-        "category, message FROM ev"
+    "sink_json": flat_events("true", ", 'logevent.v1' AS schema_version, cast(NULL AS varchar) AS relative_time").replace(
+        "ts AS timestamp", f"{_iso('ts')} AS timestamp"
+    ),
+    "event_lake_loads": flat_events(
+        "true", f", lower(category) AS category_key, cast({RANK} AS integer) AS severity_rank"
     ),
     "event_lake": flat_events(
         f"source_id = 'src1' AND lower(category) IN ('lognet', 'logonline') AND {RANK} >= 3",
@@ -270,6 +275,7 @@ ORACLES: dict[str, str] = {
     "head_lines": with_events("SELECT source_id, line_number, is_head, value FROM flagged WHERE NOT blank"),
     "event_lines": with_events("SELECT source_id, event_line, is_head, value FROM owned"),
     "stitch_continuations": with_events(f"SELECT source_id, line_number, raw, {CONT} AS continuation FROM ev"),
+    "event_chunks": with_events(f"SELECT source_id, line_number, raw, {CONT} AS continuation FROM ev"),
     "parse_no_continuation": with_events(
         flat("(SELECT e.* REPLACE ([] AS conts, '' AS raw_text_hash), coalesce(f.fields, '') AS fields "
              "FROM ev e LEFT JOIN ft f USING (source_id, line_number))"),
@@ -514,15 +520,14 @@ LEFT JOIN (SELECT * FROM ff WHERE source_id = 'src1') rf ON true""",
   FROM findings WHERE urgency IS NOT NULL) WHERE rn = 1)""",
     ),
     "stream_redact": with_events(f"{flat('rv')} WHERE {RANK} >= 3", *_RED_FIELDS, _RV),
-    # Sessions still inside the watermark are held back by the stream.
     "stream_burst": with_events(
         f"""SELECT source_id, category, verbosity, message, ctext AS continuation, min(ts) AS first_timestamp,
-  max(ts) AS last_timestamp, count(*) AS count
+  max(ts) AS last_timestamp, count(*) AS count,
+  max(ts) + INTERVAL 10 SECOND < (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR AS closed
 FROM (SELECT *, sum(CASE WHEN ts - pts <= INTERVAL 10 SECOND THEN 0 ELSE 1 END) OVER (
     PARTITION BY source_id, category, verbosity, message, ctext ORDER BY ts, line_number ROWS UNBOUNDED PRECEDING) AS s
   FROM (SELECT *, {CONT} AS ctext, lag(ts) OVER (PARTITION BY source_id, category, verbosity, message, {CONT}
       ORDER BY ts, line_number) AS pts FROM ev WHERE ts IS NOT NULL))
-GROUP BY source_id, category, verbosity, message, ctext, s
-HAVING max(ts) + INTERVAL 10 SECOND <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR"""
+GROUP BY source_id, category, verbosity, message, ctext, s"""
     ),
 }

@@ -13,17 +13,20 @@ from logloom.functions.redaction import EXTENDED_RULES, redact_text
 from logloom.functions.severity import severity_rank
 from logloom.functions.time import milliseconds
 from logloom.operators import compare, dedupe, facets, filters, ingest, paging, semantics, timing
+from logloom.operators.findings import land_findings
 from logloom.operators.redact import extract_profile_fields, redact
 from logloom.plans import bridge, commands, report
 from logloom.plans.log_query import LogQuery
 from logloom.plans.profiles import load_profile
-from logloom.schema import assert_event_schema
+from logloom.schema import EVENT_COLUMNS, assert_event_schema
 from logloom.session import tune
 from logloom.sinks import event_files as sinks
 from logloom.sources import event_files as sources
+from logloom.sources import lake
 from logloom.sources.lines import read_lines, scan_lines
 from logloom.sources.scratch import scratch_path
 from logloom.streaming import event_stream
+from logloom.streaming.burst_state import BurstState
 
 JOINT = "\x1f"
 PROFILE = load_profile("ue-default")
@@ -54,6 +57,11 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.parsed_events(spark, sf_dir)
 
 
+def heads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without their continuation lines, for jobs that do not look at them: no text is regrouped."""
+    return bridge.parsed_events(spark, sf_dir, ingest.ParserOptions(include_continuation_lines=False))
+
+
 def block_rows(spark: SparkSession, sf_dir: str) -> int:
     return bridge.event_block_rows(spark, sf_dir)
 
@@ -95,7 +103,7 @@ def ms(interval: Column | str, name: str) -> Column:
 # --- sources and sinks ---------------------------------------------------------
 
 
-def log_folder(spark: SparkSession, sf_dir: str) -> str:
+def log_folder(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
     """The raw lines as text files: of each source, a file for every so many events."""
     path = scratch_path(spark, "log-text")
     keys = ["source_id", "file"]
@@ -106,9 +114,9 @@ def log_folder(spark: SparkSession, sf_dir: str) -> str:
         .sortWithinPartitions(*keys, "pos")
         .select(*keys, "value")
         .write.partitionBy(*keys)
-        .text(path)
+        .text(path, compression=compression)
     )
-    return f"{path}/*/*/*.txt"
+    return f"{path}/*/*/*.txt*"
 
 
 def file_source() -> Column:
@@ -155,6 +163,13 @@ def parse_text_files(spark, sf_dir):
     return short(ingest.parse_events(lines, contiguous=True), "timestamp", "frame", joined(), "raw_text_hash")
 
 
+@query
+def parse_compressed_files(spark, sf_dir):
+    """Files that Spark can't split, cut into blocks when they are landed."""
+    lines = read_lines(spark, log_folder(spark, sf_dir, "gzip"), file_source(), block_lines=512)
+    return short(ingest.parse_events(lines, contiguous=True), "timestamp", "frame", joined(), "raw_text_hash")
+
+
 @query
 def skip_blank_lines(spark, sf_dir):
     numbered = ingest.number_lines(bridge.raw_lines(spark, sf_dir))
@@ -175,26 +190,41 @@ def ndjson_roundtrip(spark, sf_dir):
 
 @query
 def sink_json(spark, sf_dir):
+    """All columns of the written records, as their JSON texts say them."""
     path = scratch_path(spark, "json")
     sinks.write_json(events_of(spark, sf_dir), path)
-    keys = ["SourceId", "LineNumber", "Timestamp", "RelativeTime", "Category", "Message"]
-    return spark.read.text(path).select(F.json_tuple("value", *keys)).toDF(
-        "source_id", "line_number", "timestamp", "relative_time", "category", "message"
-    ).withColumn("line_number", F.col("line_number").cast("bigint"))
+    texts = [n for n in EVENT_COLUMNS if n not in ("continuation_lines", "fields")]
+    values = F.json_tuple("value", *[sinks.json_name(n) for n in texts]).alias(*texts)
+    lists = {"continuation_lines": "array<string>", "fields": "map<string,string>"}
+    found = spark.read.text(path).select(
+        values, *[F.from_json(F.get_json_object("value", f"$.{sinks.json_name(n)}"), k).alias(n) for n, k in lists.items()]
+    )
+    return flat(found, "schema_version", "relative_time").withColumns(
+        {"line_number": F.col("line_number").cast("bigint"), "frame": F.col("frame").cast("int")}
+    )
 
 
 @query
 def event_lake(spark, sf_dir):
     path = scratch_path(spark, "lake")
-    sinks.write_lake(events_of(spark, sf_dir), path)
-    lake = sources.read_lake(spark, path)
-    wanted = (F.col("source_id") == RIGHT) & F.col("category_key").isin("lognet", "logonline") & (F.col("severity_rank") >= 3)
-    return flat(lake.filter(wanted), "category_key", "severity_rank")
+    lake.write_lake(events_of(spark, sf_dir), path)
+    found = lake.read_lake(spark, path, [RIGHT], ["LogNet", "LOGONLINE"], min_verbosity="Warning")
+    return flat(found, "category_key", "severity_rank")
 
 
 @query
-def filter_text(spark, sf_dir):
+def event_lake_loads(spark, sf_dir):
+    """All events read back from a lake that was loaded in two steps."""
+    path = scratch_path(spark, "lake")
     events = events_of(spark, sf_dir)
+    for later in (False, True):
+        lake.write_lake(events.where((F.col("source_id") >= "src2") == F.lit(later)), path, buckets=3)
+    return flat(lake.read_lake(spark, path), "category_key", "severity_rank")
+
+
+@query
+def filter_text(spark, sf_dir):
+    events = heads_of(spark, sf_dir)
     asked = LogQuery.from_options(min_level="Warning")
     return commands.filter_lines(events, asked, PROFILE, normalize=True)
 
@@ -206,17 +236,17 @@ def clean_text(spark, sf_dir):
 
 @query
 def categories_text(spark, sf_dir):
-    return commands.categories(events_of(spark, sf_dir), PROFILE)
+    return commands.categories(heads_of(spark, sf_dir), PROFILE)
 
 
 @query
 def facet_summary_json(spark, sf_dir):
-    return commands.categories(events_of(spark, sf_dir), PROFILE, as_json=True)
+    return commands.categories(heads_of(spark, sf_dir), PROFILE, as_json=True)
 
 
 @query
 def report_markdown(spark, sf_dir):
-    return report.markdown_report(events_of(spark, sf_dir), PROFILE, entries=5, block_rows=block_rows(spark, sf_dir))
+    return report.markdown_report(heads_of(spark, sf_dir), PROFILE, entries=5, block_rows=block_rows(spark, sf_dir))
 
 
 # --- parsing -------------------------------------------------------------------
@@ -234,25 +264,34 @@ def parse_events(spark, sf_dir):
 
 @query
 def parse_fallback(spark, sf_dir):
-    return short(events_of(spark, sf_dir).filter(F.col("category") == "Unknown"), "timestamp", "frame")
+    return short(heads_of(spark, sf_dir).filter(F.col("category") == "Unknown"), "timestamp", "frame")
 
 
 @query
 def head_lines(spark, sf_dir):
-    marked = ingest.mark_heads(bridge.raw_lines(spark, sf_dir))
+    marked = ingest.mark_heads(bridge.log_lines(spark, sf_dir), contiguous=True)
     return marked.select("source_id", "line_number", "is_head", "value")
 
 
 @query
 def event_lines(spark, sf_dir):
-    return ingest.assign_event_lines(bridge.raw_lines(spark, sf_dir)).select(
+    return ingest.assign_event_lines(bridge.log_lines(spark, sf_dir), contiguous=True).select(
         "source_id", "event_line", "is_head", "value"
     )
 
 
+@query
+def event_chunks(spark, sf_dir):
+    """The chunks of each event put together again, in order of their blocks."""
+    chunks = ingest.stitch_in_chunks(bridge.log_lines(spark, sf_dir), contiguous=True)
+    parts = F.sort_array(F.collect_list(F.struct("block", "continuation_lines")))["continuation_lines"]
+    whole = chunks.groupBy("source_id", "line_number").agg(F.max("raw").alias("raw"), F.flatten(parts).alias("lines"))
+    return whole.select("source_id", "line_number", "raw", joined("lines"))
+
+
 @query
 def stitch_continuations(spark, sf_dir):
-    stitched = ingest.stitch_continuations(bridge.raw_lines(spark, sf_dir))
+    stitched = ingest.stitch_continuations(bridge.log_lines(spark, sf_dir), contiguous=True)
     return stitched.select("source_id", "line_number", "raw", joined())
 
 
@@ -264,7 +303,7 @@ def parse_no_continuation(spark, sf_dir):
 
 @query
 def extract_fields(spark, sf_dir):
-    return events_of(spark, sf_dir).select("source_id", "line_number", "message", fields_text())
+    return heads_of(spark, sf_dir).select("source_id", "line_number", "message", fields_text())
 
 
 @query
@@ -283,7 +322,7 @@ def raw_hash(spark, sf_dir):
 
 @query
 def redact_message(spark, sf_dir):
-    return events_of(spark, sf_dir).select("source_id", "line_number", redact_text(F.col("message")).alias("message"))
+    return heads_of(spark, sf_dir).select("source_id", "line_number", redact_text(F.col("message")).alias("message"))
 
 
 @query
@@ -293,7 +332,7 @@ def redact_continuations(spark, sf_dir):
 
 @query
 def redact_fields(spark, sf_dir):
-    return redact(events_of(spark, sf_dir)).select("source_id", "line_number", fields_text())
+    return redact(heads_of(spark, sf_dir)).select("source_id", "line_number", fields_text())
 
 
 @query
@@ -303,19 +342,19 @@ def redact_events(spark, sf_dir):
 
 @query
 def redact_extended(spark, sf_dir):
-    return short(redact(events_of(spark, sf_dir), EXTENDED_RULES))
+    return short(redact(heads_of(spark, sf_dir), EXTENDED_RULES))
 
 
 @query
 def profile_fields(spark, sf_dir):
     patterns = {"Failure": r"(\w+Failure)\b", "code": r"code=(\d+)", "a": r"(?:^| )a=(\d)"}
-    found = extract_profile_fields(events_of(spark, sf_dir), patterns)
+    found = extract_profile_fields(heads_of(spark, sf_dir), patterns)
     return found.select("source_id", "line_number", fields_text())
 
 
 @query
 def severity_ranks(spark, sf_dir):
-    events = events_of(spark, sf_dir)
+    events = heads_of(spark, sf_dir)
     rank = severity_rank(F.col("verbosity")).cast("bigint").alias("rank")
     return events.groupBy("verbosity", rank).agg(F.count(F.lit(1)).alias("count"))
 
@@ -328,29 +367,29 @@ QUERIES["severity_rank"] = QUERIES.pop("severity_ranks")
 
 @query
 def filter_include(spark, sf_dir):
-    return short(filters.include_categories(events_of(spark, sf_dir), ["LOGnet", "LogTravel"]))
+    return short(filters.include_categories(heads_of(spark, sf_dir), ["LOGnet", "LogTravel"]))
 
 
 @query
 def filter_exclude(spark, sf_dir):
-    return short(filters.exclude_categories(events_of(spark, sf_dir), ["logslate", "Unknown"]))
+    return short(filters.exclude_categories(heads_of(spark, sf_dir), ["logslate", "Unknown"]))
 
 
 @query
 def filter_noise(spark, sf_dir):
-    return short(filters.exclude_noise(events_of(spark, sf_dir), PROFILE))
+    return short(filters.exclude_noise(heads_of(spark, sf_dir), PROFILE))
 
 
 @query
 def filter_noise_join(spark, sf_dir):
     """The same by join, the way long lists go."""
     names = [*PROFILE.noise_categories, *[f"LogUnused{i}" for i in range(filters.INLINE_NAMES)]]
-    return short(filters.exclude_categories(events_of(spark, sf_dir), names))
+    return short(filters.exclude_categories(heads_of(spark, sf_dir), names))
 
 
 @query
 def filter_min_level(spark, sf_dir):
-    return short(filters.min_level(events_of(spark, sf_dir), "WARNING"))
+    return short(filters.min_level(heads_of(spark, sf_dir), "WARNING"))
 
 
 @query
@@ -361,7 +400,7 @@ def filter_contains(spark, sf_dir):
 @query
 def filter_time_window(spark, sf_dir):
     window = {"since": timedelta(minutes=1), "until": timedelta(days=3)}
-    return short(filters.time_window(events_of(spark, sf_dir), **window), "timestamp")
+    return short(filters.time_window(heads_of(spark, sf_dir), **window), "timestamp")
 
 
 @query
@@ -374,17 +413,17 @@ def filter_time_window_untimed(spark, sf_dir):
 
 @query
 def base_timestamp(spark, sf_dir):
-    return filters.base_timestamps(events_of(spark, sf_dir))
+    return filters.base_timestamps(heads_of(spark, sf_dir))
 
 
 @query
 def filter_compound(spark, sf_dir):
-    return short(filters.apply_query(events_of(spark, sf_dir), COMPOUND, PROFILE), "timestamp")
+    return short(filters.apply_query(heads_of(spark, sf_dir), COMPOUND, PROFILE), "timestamp")
 
 
 @query
 def important_events(spark, sf_dir):
-    return short(filters.important_events(events_of(spark, sf_dir), PROFILE))
+    return short(filters.important_events(heads_of(spark, sf_dir), PROFILE))
 
 
 # --- aggregations --------------------------------------------------------------
@@ -392,38 +431,38 @@ def important_events(spark, sf_dir):
 
 @query
 def summary(spark, sf_dir):
-    return commands.summarize(events_of(spark, sf_dir), PROFILE)
+    return commands.summarize(heads_of(spark, sf_dir), PROFILE)
 
 
 @query
 def summary_row(spark, sf_dir):
-    return facets.summary(events_of(spark, sf_dir))
+    return facets.summary(heads_of(spark, sf_dir))
 
 
 @query
 def facet_category(spark, sf_dir):
-    return facets.facet(events_of(spark, sf_dir), "category")
+    return facets.facet(heads_of(spark, sf_dir), "category")
 
 
 @query
 def facet_verbosity(spark, sf_dir):
-    return facets.facet(events_of(spark, sf_dir), "verbosity", by_source=True)
+    return facets.facet(heads_of(spark, sf_dir), "verbosity", by_source=True)
 
 
 @query
 def facet_category_denoised(spark, sf_dir):
-    return facets.facet(filters.exclude_noise(events_of(spark, sf_dir), PROFILE), "category")
+    return facets.facet(filters.exclude_noise(heads_of(spark, sf_dir), PROFILE), "category")
 
 
 @query
 def important_count(spark, sf_dir):
-    return facets.important_count(events_of(spark, sf_dir), PROFILE)
+    return facets.important_count(heads_of(spark, sf_dir), PROFILE)
 
 
 @query
 def faceted_search(spark, sf_dir):
     asked = LogQuery.from_options(min_level="Error", exclude_profile_noise=True)
-    found = commands.inspect(events_of(spark, sf_dir), asked, PROFILE)
+    found = commands.inspect(heads_of(spark, sf_dir), asked, PROFILE)
     matches = found.matches.groupBy(F.lower("category").alias("name")).agg(F.count(F.lit(1)).alias("count"))
     return found.categories.withColumn("part", F.lit("facet")).unionByName(matches.withColumn("part", F.lit("match")))
 
@@ -440,13 +479,13 @@ def top_repeated_documents(spark, sf_dir):
 
 @query
 def suppressed_counts(spark, sf_dir):
-    counts = facets.suppressed_counts(events_of(spark, sf_dir), PROFILE)
+    counts = facets.suppressed_counts(heads_of(spark, sf_dir), PROFILE)
     return counts.select("category", "suppressed", "first_timestamp", "last_timestamp", ms("duration", "duration_ms"))
 
 
 @query
 def log_metadata(spark, sf_dir):
-    found = timing.log_metadata(events_of(spark, sf_dir), bridge.raw_lines(spark, sf_dir))
+    found = timing.log_metadata(heads_of(spark, sf_dir), bridge.raw_lines(spark, sf_dir))
     return found.withColumn("duration_ms", ms("duration", "duration_ms")).drop("duration")
 
 
@@ -474,7 +513,8 @@ def dedupe_normalized(spark, sf_dir):
 
 
 def _bursts(spark, sf_dir):
-    return dedupe.deduplicate(events_of(spark, sf_dir), "burst", block_rows(spark, sf_dir))
+    events = events_of(spark, sf_dir).select(*dedupe.KEY_COLUMNS)
+    return dedupe.deduplicate(events, "burst", block_rows(spark, sf_dir))
 
 
 @query
@@ -492,7 +532,7 @@ def burst_span(spark, sf_dir):
 
 @query
 def page(spark, sf_dir):
-    matches = filters.min_level(events_of(spark, sf_dir), "Warning")
+    matches = filters.min_level(heads_of(spark, sf_dir), "Warning")
     found = paging.page(matches, 20, 30)
     return short(found.events).withColumn("total_matches", found.total.scalar())
 
@@ -500,18 +540,18 @@ def page(spark, sf_dir):
 @query
 def page_deep(spark, sf_dir):
     """A page cut by event index instead of by top-k."""
-    found = paging._index_slice(events_of(spark, sf_dir), 500, 40, block_rows(spark, sf_dir))
+    found = paging._index_slice(heads_of(spark, sf_dir), 500, 40, block_rows(spark, sf_dir))
     return short(found)
 
 
 @query
 def context_window(spark, sf_dir):
-    return short(paging.context_window(events_of(spark, sf_dir), *CONTEXT))
+    return short(paging.context_window(heads_of(spark, sf_dir), *CONTEXT))
 
 
 @query
 def context_multi(spark, sf_dir):
-    events = events_of(spark, sf_dir)
+    events = heads_of(spark, sf_dir)
     anchors = events.filter(F.lower("verbosity") == "fatal")
     found = paging.context_many(events, anchors, 2, 3, block_rows(spark, sf_dir))
     return short(found, "anchor_line")
@@ -524,13 +564,13 @@ def preview(spark, sf_dir):
 
 @query
 def time_gaps(spark, sf_dir):
-    gaps = timing.time_gaps(events_of(spark, sf_dir), timedelta(hours=1), block_rows(spark, sf_dir))
+    gaps = timing.time_gaps(heads_of(spark, sf_dir), timedelta(hours=1), block_rows(spark, sf_dir))
     return gaps.withColumn("gap_ms", ms("gap", "gap_ms")).drop("gap")
 
 
 @query
 def relative_time(spark, sf_dir):
-    timed = timing.with_relative_time(events_of(spark, sf_dir))
+    timed = timing.with_relative_time(heads_of(spark, sf_dir))
     return timed.select("source_id", "line_number", ms("relative_time", "relative_ms"))
 
 
@@ -539,40 +579,39 @@ def relative_time(spark, sf_dir):
 
 @query
 def semantic_match(spark, sf_dir):
-    return short(semantics.match_rules(events_of(spark, sf_dir)), *semantics.FINDING_COLUMNS)
+    return short(semantics.match_rules(heads_of(spark, sf_dir)), *semantics.FINDING_COLUMNS)
 
 
 @query
 def semantic_fallback(spark, sf_dir):
-    return short(semantics.fallback_findings(events_of(spark, sf_dir)), "kind", "severity")
+    return short(semantics.fallback_findings(heads_of(spark, sf_dir)), "kind", "severity")
 
 
 @query
 def semantic_findings(spark, sf_dir):
-    return semantics.finding_counts(semantics.classify(events_of(spark, sf_dir)))
+    return land_findings(heads_of(spark, sf_dir)).kinds()
 
 
 @query
 def first_failure(spark, sf_dir):
-    return semantics.first_failure(semantics.classify(events_of(spark, sf_dir)))
+    return land_findings(heads_of(spark, sf_dir)).first_failure()
 
 
 @query
 def first_failure_by_system(spark, sf_dir):
-    found = semantics.first_failure_by_system(semantics.classify(events_of(spark, sf_dir)))
+    found = land_findings(heads_of(spark, sf_dir)).first_failure_by_system()
     return found.select("source_id", "system", "line_number", "kind", "severity", "rule_id")
 
 
 @query
 def timeline(spark, sf_dir):
-    return semantics.timeline(
-        events_of(spark, sf_dir), profile=PROFILE, limit=25, block_rows=block_rows(spark, sf_dir)
-    )
+    found = land_findings(heads_of(spark, sf_dir), profile=PROFILE)
+    return found.timeline(25, block_rows(spark, sf_dir))
 
 
 @query
 def compare_by_time(spark, sf_dir):
-    return compare.align_by_time(events_of(spark, sf_dir), LEFT, RIGHT, block_rows(spark, sf_dir))
+    return compare.align_by_time(heads_of(spark, sf_dir), LEFT, RIGHT, block_rows(spark, sf_dir))
 
 
 @query
@@ -600,15 +639,9 @@ def stream_redact(spark, sf_dir):
 
 @query
 def stream_burst(spark, sf_dir):
-    source, target, state = (scratch_path(spark, f"burst-{part}") for part in ("in", "out", "state"))
-    events_of(spark, sf_dir).write.parquet(source)
-    stream = event_stream.stream_bursts(event_stream.stream_parquet_events(spark, source))
-    run = (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    """Several files a trigger, none in order of time; open sessions come from the state."""
+    source, path, checkpoint = (scratch_path(spark, f"burst-{part}") for part in ("in", "state", "checkpoint"))
+    events_of(spark, sf_dir).repartition(6, "line_number").write.parquet(source)
+    state = BurstState(path)
+    state.start(event_stream.stream_parquet_events(spark, source, files_per_batch=2), checkpoint).awaitTermination()
+    return state.sessions(spark)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.severity import KNOWN_VERBOSITIES
-from logloom.functions.text import WHITESPACE_CLASS, fold, is_ascii, strip, strip_left
+from logloom.functions.text import WHITESPACE_CLASS, fold, is_ascii, is_blank, is_indented, strip, strip_left
 
 # The line format `[yyyy.MM.dd-HH.mm.ss:fff][frame]Category: Verbosity: Message`.
 # The frame is whatever stands between the next `[` anywhere later and the `]` after it.
@@ -101,6 +101,24 @@ def looks_like_event(df: DataFrame, text: Column, output: str) -> DataFrame:
     return df.select(*kept, F.coalesce(eventlike, F.lit(False)).alias(output))
 
 
+def with_line_kind(lines: DataFrame) -> DataFrame:
+    """Add ``_blank`` and ``_starts``: the line opens an event wherever it stands.
+
+    A line that does not start with white space always opens one; an indented
+    line only when it looks like an event itself. The parse of the indented
+    text is skipped for all other lines. Landed lines have been judged before.
+    """
+    if "starts" in lines.columns and "blank" in lines.columns:
+        return lines.withColumnsRenamed({"starts": "_starts", "blank": "_blank"})
+    value = F.col("value")
+    inner = F.when(is_indented(value), strip_left(value))
+    kinds = looks_like_event(lines, inner, "_eventlike")
+    blank = is_blank(value)
+    return kinds.withColumns(
+        {"_blank": blank, "_starts": ~blank & (~is_indented(value) | F.col("_eventlike"))}
+    ).drop("_eventlike")
+
+
 def parse_heads(df: DataFrame, raw: str) -> DataFrame:
     """Turn head lines into ``timestamp, frame, category, verbosity, message``.
 

@@ -18,7 +18,10 @@ from logloom.operators.ordered import (
     with_block,
 )
 from logloom.operators.redact import redact
+from logloom.sources.scratch import settle, sized_lookup
 
+# What a de-duplicated text needs of an event.
+KEY_COLUMNS = ["source_id", "line_number", "timestamp", "category", "verbosity", "message", "continuation_lines"]
 # The longest pause inside a burst, and the joint of the
 # continuation lines in the key.
 BURST_WINDOW = timedelta(seconds=10)
@@ -83,12 +86,15 @@ def dedupe_by_key(events: DataFrame) -> DataFrame:
 def dedupe_bursts(events: DataFrame, block_rows: int = BLOCK_ROWS, window: timedelta = BURST_WINDOW) -> DataFrame:
     """Merge an event into the one just before it if keys agree and the pause is short.
 
-    Runs are formed inside blocks. A run that crosses into later blocks is
-    put together on a table of one row per block: the first run of a block may
-    belong to the last run of the block before.
+    Runs are formed inside blocks and written down, one row per run with the
+    event it begins with: that is the one look at the events. A run that
+    crosses into later blocks is put together from the first and last run of
+    each block, read back from that table. ``events`` may have any columns
+    besides those of the key, the order and the time; all of them are written,
+    so callers leave out what they do not need.
     """
-    runs = _runs_in_blocks(with_block(events, block_rows), window)
-    seams = _seams(_runs_in_blocks(_narrow(with_block(events, block_rows)), window), window)
+    runs = settle(_runs_in_blocks(with_block(events, block_rows), window), "runs")
+    seams = sized_lookup(_seams(runs, window), "seams")
     joined = runs.join(seams, BLOCK_KEYS, "left")
     extra = F.when(F.col("_is_last") & F.col("_extra").isNotNull(), F.col("_extra"))
     end = F.when(F.col("_is_last") & F.col("_extra").isNotNull(), F.col("_extra_end")).otherwise(F.col("_end"))
@@ -99,11 +105,6 @@ def dedupe_bursts(events: DataFrame, block_rows: int = BLOCK_ROWS, window: timed
     )
 
 
-def _narrow(blocked: DataFrame) -> DataFrame:
-    """Only what run borders depend on; the wide columns stay behind in the scan."""
-    return blocked.select(*BLOCK_KEYS, "line_number", "timestamp", key_digest().alias("_key"))
-
-
 def _continues(key: Column, last_key: Column, time: Column, last_time: Column, window: timedelta) -> Column:
     return F.coalesce((key == last_key) & (time - last_time <= F.lit(window)), F.lit(False))
 
@@ -116,9 +117,7 @@ def _runs_in_blocks(blocked: DataFrame, window: timedelta) -> DataFrame:
     """
     order = in_block()
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if "_key" not in blocked.columns:
-        blocked = blocked.withColumn("_key", key_digest())
-    marked = blocked.withColumns(
+    marked = blocked.withColumn("_key", key_digest()).withColumns(
         {
             "_rank": F.row_number().over(order),
             "_last_key": F.lag("_key").over(order),

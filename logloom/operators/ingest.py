@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.parsing import looks_like_event, parse_heads, raw_text_hash, with_fields
-from logloom.functions.text import is_blank, is_indented, strip, strip_left
+from logloom.functions.parsing import parse_heads, raw_text_hash, with_fields, with_line_kind
+from logloom.functions.text import is_blank, strip
 from logloom.operators.ordered import (
     BLOCK,
     BLOCK_KEYS,
@@ -77,68 +77,68 @@ def drop_blank_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~is_blank(F.col("value")))
 
 
-def _with_line_kind(lines: DataFrame) -> DataFrame:
-    """Add ``_blank`` and ``_starts``: the line opens an event wherever it stands.
-
-    A line that does not start with white space always opens one; an indented
-    line only when it looks like an event itself. The parse of the indented
-    text is skipped for all other lines.
-    """
-    value = F.col("value")
-    inner = F.when(is_indented(value), strip_left(value))
-    kinds = looks_like_event(lines, inner, "_eventlike")
-    blank = is_blank(value)
-    return kinds.withColumns(
-        {"_blank": blank, "_starts": ~blank & (~is_indented(value) | F.col("_eventlike"))}
-    ).drop("_eventlike")
-
-
 def _block_facts(blocked: DataFrame, contiguous: bool) -> DataFrame:
     """One row per block: what it holds and what it inherits.
 
-    ``_before``: lines in earlier blocks. ``_forced``: position of the first
-    text of the source if it stands here; that line is a head even when
-    indented. ``_first_head``: the first head of the block. ``_lead``: lines
-    before it. ``_owner``: the block whose last event those lines continue.
+    ``_first``: the first position. ``_before``: lines in earlier blocks.
+    ``_forced``: position of the first text of the source if it stands here;
+    that line is a head even when indented. ``_first_head``: the first head of
+    the block. ``_lead``: lines before it. ``_owner``: the block whose last
+    event those lines continue, ``_owner_line``: the line number of that event.
     """
-    pos, starts, blank = F.col("pos"), F.col("_starts"), F.col("_blank")
-    aggregates = [
+    starts, blank, place = F.col("_starts"), F.col("_blank"), F.col("_place")
+    narrow = blocked.select(*BLOCK_KEYS, "pos", "_starts", "_blank")
+    # Places in the block; positions with gaps have to be counted.
+    narrow = narrow.withColumn("_place", F.col("pos") if contiguous else F.row_number().over(in_block("pos")))
+    first = F.min("_place")
+    table = block_table(
+        narrow,
         (_contiguous_rows() if contiguous else F.count(F.lit(1))).alias("_rows"),
         F.min("pos").alias("_first"),
-        F.min(F.when(starts, pos)).alias("_first_start"),
-        F.min(F.when(~blank, pos)).alias("_first_text"),
-    ]
-    narrow = blocked.select(*BLOCK_KEYS, "pos", "_starts", "_blank")
-    if not contiguous:
-        # Positions with gaps: count the lines before the first text and the first start.
-        narrow = narrow.withColumns(
-            {
-                "_no_text_yet": F.max(~blank).over(so_far_in_block("pos")) == F.lit(False),
-                "_no_start_yet": F.max(starts).over(so_far_in_block("pos")) == F.lit(False),
-            }
-        )
-        aggregates += [
-            F.count_if("_no_text_yet").alias("_to_text"),
-            F.count_if("_no_start_yet").alias("_to_start"),
-        ]
-    table = block_table(narrow, *aggregates)
-    if contiguous:
-        table = table.withColumns(
-            {"_to_text": F.col("_first_text") - F.col("_first"), "_to_start": F.col("_first_start") - F.col("_first")}
-        )
+        F.min(F.when(starts, F.col("pos"))).alias("_first_start"),
+        F.min(F.when(~blank, F.col("pos"))).alias("_first_text"),
+        (F.min(F.when(starts, place)) - first).alias("_to_start"),
+        (F.min(F.when(~blank, place)) - first).alias("_to_text"),
+        (F.max(F.when(starts, place)) - first).alias("_to_last"),
+    )
     first_text_of_source = F.count("_first_text").over(earlier_blocks()) == 0
-    table = table.withColumn("_forced", F.when(first_text_of_source, F.col("_first_text")))
-    has_head = F.col("_first_start").isNotNull() | F.col("_forced").isNotNull()
-    return table.select(
+    table = table.withColumns(
+        {
+            "_forced": F.when(first_text_of_source, F.col("_first_text")),
+            "_before": F.coalesce(F.sum("_rows").over(earlier_blocks()), F.lit(0)),
+        }
+    )
+    forced = F.col("_forced").isNotNull()
+    last_head = F.col("_before") + F.coalesce("_to_last", F.when(forced, F.col("_to_text"))) + 1
+    return table.withColumn("_last_head", last_head).select(
         *BLOCK_KEYS,
+        "_first",
+        "_before",
         "_forced",
         F.coalesce("_forced", "_first_start").alias("_first_head"),
-        F.when(F.col("_forced").isNotNull(), F.col("_to_text")).otherwise(F.col("_to_start")).alias("_lead"),
-        F.coalesce(F.sum("_rows").over(earlier_blocks()), F.lit(0)).alias("_before"),
-        F.last(F.when(has_head, F.col(BLOCK)), ignorenulls=True).over(earlier_blocks()).alias("_owner"),
+        F.when(forced, F.col("_to_text")).otherwise(F.col("_to_start")).alias("_lead"),
+        F.last(F.when(F.col("_last_head").isNotNull(), F.col(BLOCK)), ignorenulls=True)
+        .over(earlier_blocks())
+        .alias("_owner"),
+        F.last("_last_head", ignorenulls=True).over(earlier_blocks()).alias("_owner_line"),
     )
 
 
+def _located(lines: DataFrame, contiguous: bool) -> DataFrame:
+    """Lines with ``line_number``, ``is_head`` and the facts of their block.
+
+    Only the table of blocks is looked up. Contiguous lines are numbered by
+    arithmetic, so their text stays where it is as long as that table is small.
+    """
+    blocked = with_line_kind(lines.withColumnRenamed("block", BLOCK))
+    facts = sized_lookup(_block_facts(blocked, contiguous), "event-blocks")
+    if not contiguous:
+        blocked = blocked.withColumn("_rank", F.row_number().over(in_block("pos")))
+    rank = F.col("pos") - F.col("_first") + 1 if contiguous else F.col("_rank")
+    head = F.col("_starts") | F.coalesce(F.col("pos") == F.col("_forced"), F.lit(False))
+    return blocked.join(facts, BLOCK_KEYS).withColumns({"line_number": F.col("_before") + rank, "is_head": head})
+
+
 def _anchor(lines: DataFrame, contiguous: bool) -> DataFrame:
     """Give each text line to the block of its head and number the heads.
 
@@ -147,7 +147,7 @@ def _anchor(lines: DataFrame, contiguous: bool) -> DataFrame:
     block table is settled first and looked up on the way. Rows get
     ``is_head``, ``line_number`` on heads, and ``event_line``.
     """
-    blocked = _with_line_kind(lines.withColumnRenamed("block", BLOCK))
+    blocked = with_line_kind(lines.withColumnRenamed("block", BLOCK))
     facts = sized_lookup(_block_facts(blocked, contiguous), "event-blocks")
     pos = F.col("pos")
     leading = F.col("_first_head").isNull() | (pos < F.col("_first_head"))
@@ -173,42 +173,62 @@ def _anchor(lines: DataFrame, contiguous: bool) -> DataFrame:
 
 def mark_heads(lines: DataFrame, contiguous: bool = False) -> DataFrame:
     """Non-blank lines with ``line_number`` and ``is_head``."""
-    blocked = _with_line_kind(number_lines(lines, contiguous).withColumnRenamed("block", BLOCK))
-    text = blocked.filter(~F.col("_blank"))
-    # The first text of each source, by way of one row per block.
-    firsts = block_table(text, F.min("line_number").alias("_first_text")).select(
-        *BLOCK_KEYS, F.min("_first_text").over(Window.partitionBy("source_id")).alias("_first_text")
-    )
-    return text.join(firsts, BLOCK_KEYS).select(
-        *[F.col(BLOCK).alias("block") if name == "block" else F.col(name) for name in lines.columns],
-        "line_number",
-        (F.col("_starts") | (F.col("line_number") == F.col("_first_text"))).alias("is_head"),
-    )
+    names = [name for name in lines.columns if name not in ("starts", "blank")]
+    columns = [F.col(BLOCK).alias("block") if name == "block" else F.col(name) for name in names]
+    return _located(lines, contiguous).filter(~F.col("_blank")).select(*columns, "line_number", "is_head")
 
 
 def assign_event_lines(lines: DataFrame, contiguous: bool = False) -> DataFrame:
     """Non-blank lines with ``event_line``, the line number of the event they belong to.
 
     The long form of stitching: it builds no arrays, for logs in which single
-    events have more continuation lines than one row should hold.
+    events have more continuation lines than one row should hold. Every block
+    stays by itself. The lines before its first head learn from the table of
+    blocks whose they are, so an event that spans many blocks is many partitions.
     """
-    return _anchor(lines, contiguous).select(
-        "source_id", "source_path", F.col(BLOCK).alias("block"), "pos", "value", "is_head", "event_line"
+    head_line = F.when(F.col("is_head"), F.col("line_number"))
+    event_line = F.coalesce(F.max(head_line).over(so_far_in_block("pos")), F.col("_owner_line"))
+    rows = _located(lines, contiguous).withColumn("event_line", event_line).filter(~F.col("_blank"))
+    return rows.select("source_id", "source_path", F.col(BLOCK).alias("block"), "pos", "value", "is_head", "event_line")
+
+
+def stitch_in_chunks(lines: DataFrame, contiguous: bool = False) -> DataFrame:
+    """Events of any length: one row per event and block that it has lines in.
+
+    The row of the block with the head has ``raw``, the others only
+    ``continuation_lines``; ``block`` tells their order. No row holds more
+    lines than a block.
+    """
+    rows = assign_event_lines(lines, contiguous)
+    head = F.col("is_head")
+    return (
+        rows.groupBy("source_id", "block", "event_line")
+        .agg(
+            F.max(F.when(head, F.col("source_path"))).alias("source_path"),
+            F.max(F.when(head, F.col("value"))).alias("raw"),
+            F.sort_array(F.collect_list(F.when(~head, F.struct("pos", strip(F.col("value")).alias("text")))))["text"].alias(
+                "continuation_lines"
+            ),
+        )
+        .select("source_id", "source_path", F.col("event_line").alias("line_number"), "block", "raw", "continuation_lines")
     )
 
 
 def stitch_continuations(lines: DataFrame, include: bool = True, contiguous: bool = False) -> DataFrame:
-    """One row per event: ``line_number``, head text ``raw`` and ``continuation_lines``."""
-    rows = _anchor(lines, contiguous)
-    head = F.col("is_head")
+    """One row per event: ``line_number``, head text ``raw`` and ``continuation_lines``.
+
+    Without continuation lines only heads are kept, and nothing is regrouped.
+    """
     if not include:
-        return rows.filter(head).select(
+        return _located(lines, contiguous).filter("is_head").select(
             "source_id",
             "source_path",
             "line_number",
             F.col("value").alias("raw"),
             F.array().cast("array<string>").alias("continuation_lines"),
         )
+    rows = _anchor(lines, contiguous)
+    head = F.col("is_head")
     piece = F.struct(F.col(BLOCK), F.col("pos"), strip(F.col("value")).alias("text"))
     return (
         rows.groupBy("source_id", "_home", "event_line")

@@ -11,14 +11,16 @@ from logloom.functions.redaction import STANDARD_RULES, RedactionRule, redact_fi
 
 
 def redact(events: DataFrame, rules: tuple[RedactionRule, ...] = STANDARD_RULES) -> DataFrame:
-    """Redact message, continuation lines and field values; other columns stay, the hash included."""
-    return events.withColumns(
-        {
-            "message": redact_text(F.col("message"), rules),
-            "continuation_lines": F.transform("continuation_lines", lambda line: redact_text(line, rules)),
-            "fields": F.transform_values("fields", lambda key, value: redact_field(key, value, rules)),
-        }
-    )
+    """Redact message, continuation lines and field values; other columns stay, the hash included.
+
+    Columns that the caller has left out are not needed.
+    """
+    redacted = {
+        "message": redact_text(F.col("message"), rules),
+        "continuation_lines": F.transform("continuation_lines", lambda line: redact_text(line, rules)),
+        "fields": F.transform_values("fields", lambda key, value: redact_field(key, value, rules)),
+    }
+    return events.withColumns({name: column for name, column in redacted.items() if name in events.columns})
 
 
 def extract_profile_fields(events: DataFrame, patterns: dict[str, str]) -> DataFrame:

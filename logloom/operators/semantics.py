@@ -23,7 +23,7 @@ def _and(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _matches(rule: SemanticRule) -> Column:
+def rule_test(rule: SemanticRule) -> Column:
     """Rule as one boolean over the folded helper columns."""
     tests = []
     if rule.categories:
@@ -41,26 +41,34 @@ def _matches(rule: SemanticRule) -> Column:
     return _and(tests)
 
 
-def _finding(rule_id: str, kind: str, severity: str, reason: str, confidence: float) -> Column:
-    values = [rule_id, kind, severity, reason, confidence]
+# What severe events that no rule matched are called, the stronger first.
+FALLBACKS = (
+    SemanticRule("fallback.fatal", "runtime.fatal", "critical", "Fatal error"),
+    SemanticRule("fallback.error", "runtime.error", "high", "Unclassified error", confidence=0.5),
+)
+
+
+def _finding(rule: SemanticRule) -> Column:
+    values = [rule.id, rule.kind, rule.severity, rule.reason, rule.confidence]
     return F.struct(*[F.lit(value).alias(name) for name, value in zip(FINDING_COLUMNS, values)])
 
 
-def _with_findings(events: DataFrame, rules: Sequence[SemanticRule]) -> DataFrame:
-    """Add array ``_findings``: one entry per matching rule, in rule order."""
-    folded = events.withColumns(
+def with_folded(events: DataFrame) -> DataFrame:
+    """Add the columns that rules are tested on: ``_category``, ``_message``, ``_rank``."""
+    return events.withColumns(
         {
             "_category": fold(F.col("category")),
             "_message": fold(F.col("message")),
             "_rank": severity_rank(F.col("verbosity")),
         }
     )
-    entries = [
-        F.when(_matches(rule), _finding(rule.id, rule.kind, rule.severity, rule.reason, rule.confidence))
-        for rule in rules
-    ]
+
+
+def _with_findings(events: DataFrame, rules: Sequence[SemanticRule]) -> DataFrame:
+    """Add array ``_findings``: one entry per matching rule, in rule order."""
+    entries = [F.when(rule_test(rule), _finding(rule)) for rule in rules]
     found = F.array_compact(F.array(*entries)) if entries else F.array()
-    return folded.withColumn("_findings", found)
+    return with_folded(events).withColumn("_findings", found)
 
 
 def match_rules(events: DataFrame, rules: Sequence[SemanticRule] = DEFAULT_RULES) -> DataFrame:
@@ -69,12 +77,14 @@ def match_rules(events: DataFrame, rules: Sequence[SemanticRule] = DEFAULT_RULES
     return found.select(*events.columns, F.inline("_findings"))
 
 
+def fallback_tests() -> list[Column]:
+    """Tests of ``FALLBACKS`` for events that no rule matched."""
+    return [(F.col("_rank") == 5) | F.contains(F.col("_message"), F.lit("fatal error")), F.col("_rank") == 4]
+
+
 def _fallback() -> Column:
     """For events no rule matched: fatal first, then error, else null."""
-    fatal = (F.col("_rank") == 5) | F.contains(F.col("_message"), F.lit("fatal error"))
-    return F.when(fatal, _finding("fallback.fatal", "runtime.fatal", "critical", "Fatal error", 1.0)).when(
-        F.col("_rank") == 4, _finding("fallback.error", "runtime.error", "high", "Unclassified error", 0.5)
-    )
+    return F.coalesce(*[F.when(test, _finding(rule)) for test, rule in zip(fallback_tests(), FALLBACKS, strict=True)])
 
 
 def fallback_findings(events: DataFrame, rules: Sequence[SemanticRule] = DEFAULT_RULES) -> DataFrame:

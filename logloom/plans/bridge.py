@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from logloom.operators.ingest import ParserOptions, number_lines, parse_events
 from logloom.operators.ordered import BLOCK_ROWS
 from logloom.schema import DEFAULT_SCHEMA_VERSION, EVENT_COLUMNS
+from logloom.sources.lines import land_lines
 
 # Categories by event type.
 CATEGORY_OF_TYPE = {
@@ -193,9 +194,14 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_lines`` written down like the lines of a log file."""
+    return land_lines(raw_lines(spark, sf_dir))
+
+
 def parsed_events(spark: SparkSession, sf_dir: str, options: ParserOptions = ParserOptions()) -> DataFrame:
-    """The events parsed from ``raw_lines``."""
-    return parse_events(raw_lines(spark, sf_dir), options)
+    """The events parsed from ``log_lines``."""
+    return parse_events(log_lines(spark, sf_dir), options, contiguous=True)
 
 
 def document_lines(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from logloom.operators.dedupe import DedupeMode, deduplicate
+from logloom.operators.dedupe import KEY_COLUMNS, DedupeMode, deduplicate
 from logloom.operators.facets import facet, facet_summary, summary_metrics
 from logloom.operators.filters import apply_query, exclude_noise
 from logloom.operators.ingest import ParserOptions, parse_events
@@ -42,7 +42,7 @@ def filter_lines(
 
 
 def clean(events: DataFrame, mode: DedupeMode | str = DedupeMode.NONE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return clean_lines(deduplicate(events, mode, block_rows))
+    return clean_lines(deduplicate(events.select(*KEY_COLUMNS), mode, block_rows))
 
 
 def categories(events: DataFrame, profile: LogProfile | None = None, as_json: bool = False) -> DataFrame:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.time import iso_utc
 from logloom.operators.facets import facet, facet_summary
+from logloom.operators.findings import land_findings
 from logloom.operators.redact import redact
-from logloom.operators.semantics import classify, first_failure, timeline
-from logloom.functions.severity import is_error, is_warning
-from logloom.operators.filters import is_important
 from logloom.operators.ordered import BLOCK_ROWS
 from logloom.plans.profiles import LogProfile
 from logloom.plans.rules import DEFAULT_RULES, SemanticRule
@@ -39,7 +37,7 @@ def clean_lines(deduped: DataFrame) -> DataFrame:
     """``[Nx] category: verbosity: message`` of redacted representatives; no prefix for single events."""
     prefix = F.when(F.col("count") > 1, F.concat(F.lit("["), F.col("count").cast("string"), F.lit("x] "))).otherwise("")
     text = F.concat(prefix, "category", F.lit(": "), "verbosity", F.lit(": "), "message")
-    return redact(deduped).select(*ORDER_KEYS, text.alias("value"))
+    return redact(deduped.select(*ORDER_KEYS, "category", "verbosity", "message", "count")).select(*ORDER_KEYS, text.alias("value"))
 
 
 def burst_lines(bursts: DataFrame) -> DataFrame:
@@ -50,7 +48,7 @@ def burst_lines(bursts: DataFrame) -> DataFrame:
         F.concat(F.lit("["), F.col("count").cast("string"), F.lit("x over "), seconds, F.lit("s] ")),
     ).otherwise("")
     text = F.concat(prefix, "category", F.lit(": "), "verbosity", F.lit(": "), "message")
-    return redact(bursts).select(*ORDER_KEYS, text.alias("value"))
+    return redact(bursts.select(*ORDER_KEYS, "category", "verbosity", "message", "count", "span")).select(*ORDER_KEYS, text.alias("value"))
 
 
 def _minutes():
@@ -90,61 +88,34 @@ def markdown_report(
 ) -> DataFrame:
     """One text per source: counts, then the sections that have content.
 
-    What is collected per source is bounded: four counts, one failure, one row
-    per rule kind, ``entries`` timeline rows.
+    All sections are read from one landed table of findings. What is collected
+    per source is bounded: four counts, one failure, one row per rule kind,
+    ``entries`` timeline rows.
     """
-    findings = classify(events, rules)
+    findings = land_findings(events, rules, profile)
 
     def lines(df: DataFrame, section: int, place, text) -> DataFrame:
         return df.select(
             "source_id", F.lit(section).alias("section"), place.cast("bigint").alias("place"), text.alias("text")
         )
 
-    aggregates = [
-        F.count(F.lit(1)).alias("_total"),
-        F.count_if(is_warning(F.col("verbosity"))).alias("_warnings"),
-        F.count_if(is_error(F.col("verbosity"))).alias("_errors"),
-    ]
-    labels = [("_total", "Total events: "), ("_warnings", "Warnings: "), ("_errors", "Errors: ")]
+    def text(*parts: str) -> Column:
+        """Column names, and texts that begin or end with something else than a letter."""
+        return F.concat(*[F.col(p).cast("string") if p.isidentifier() else F.lit(p) for p in parts])
+
+    labels = [("total", "Total events: "), ("warnings", "Warnings: "), ("errors", "Errors: ")]
     if profile is not None:
-        aggregates.append(F.count_if(is_important(profile)).alias("_important"))
-        labels.append(("_important", "Important events: "))
-    counts = events.groupBy("source_id").agg(*aggregates)
-    count_rows = counts.select(
-        "source_id",
-        F.posexplode(F.array(*[F.concat(F.lit(label), F.col(name).cast("string")) for name, label in labels])),
-    )
-    failure = first_failure(findings)
-    failure_text = F.concat(
-        F.lit("- ["),
-        F.col("line_number").cast("string"),
-        F.lit("] "),
-        "kind",
-        F.lit(" "),
-        "severity",
-        F.lit(": "),
-        "reason",
-    )
-    kinds = findings.groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("_n"))
-    kind_text = F.concat(F.lit("- "), "kind", F.lit(": "), F.col("_n").cast("string"))
-    steps = timeline(events, rules, profile, entries, block_rows)
-    step_text = F.concat(
-        F.lit("- ["),
-        F.col("line_number").cast("string"),
-        F.lit("] "),
-        "category",
-        F.lit(" "),
-        "verbosity",
-        F.lit(": "),
-        "message",
-    )
-    # A section is its rows; the heading is put in front when the text is joined.
+        labels.append(("important", "Important events: "))
+    count_rows = findings.counts().select("source_id", F.posexplode(F.array(*[text(label, name) for name, label in labels])))
+    failure = text("- [", "line_number", "] ", "kind", " ", "severity", ": ", "reason")
+    step = text("- [", "line_number", "] ", "category", " ", "verbosity", ": ", "message")
     rows = (
         lines(count_rows, 0, F.col("pos"), F.col("col"))
-        .unionByName(lines(failure, 1, F.lit(0), failure_text))
-        .unionByName(lines(kinds, 2, -F.col("_n"), kind_text))
-        .unionByName(lines(steps, 3, F.col("line_number"), step_text))
+        .unionByName(lines(findings.first_failure(), 1, F.lit(0), failure))
+        .unionByName(lines(findings.kinds("source_id"), 2, -F.col("count"), text("- ", "kind", ": ", "count")))
+        .unionByName(lines(findings.timeline(entries, block_rows), 3, F.col("line_number"), step))
     )
+    # A section is its rows; the heading is put in front when the text is joined.
     grouped = rows.groupBy("source_id").agg(
         F.sort_array(F.collect_list(F.struct("section", "place", "text"))).alias("_rows")
     )

@@ -44,6 +44,11 @@ LINE_SCHEMA = T.StructType(
     ]
 )
 
+# Lines that were written down: with what they are, judged once, and with `pos` growing by one inside a block.
+LANDED_SCHEMA = T.StructType(
+    [*LINE_SCHEMA.fields, T.StructField("starts", T.BooleanType()), T.StructField("blank", T.BooleanType())]
+)
+
 
 class SchemaMismatch(ValueError):
     """A DataFrame offered as an event source lacks the event columns."""

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.severity import severity_rank
-from logloom.functions.text import fold
 from logloom.functions.time import duration_text, iso_utc
 from logloom.schema import EVENT_COLUMNS, ORDER_KEYS
 from logloom.sources.scratch import settle
@@ -57,16 +55,3 @@ def write_text(rows: DataFrame, path: str) -> None:
     if set(ORDER_KEYS) <= set(rows.columns):
         rows = in_log_order(rows)
     rows.select("value").write.text(path)
-
-
-def write_lake(events: DataFrame, path: str) -> None:
-    """Index of many logs: Parquet by source, sorted by line.
-
-    ``category_key`` and ``severity_rank`` are stored so that filters on them
-    reach the scan. Ranges of (source, line) keep a dominant source spread over
-    many tasks and the number of files near the number of tasks.
-    """
-    keyed = events.withColumns(
-        {"category_key": fold(F.col("category")), "severity_rank": severity_rank(F.col("verbosity"))}
-    )
-    in_log_order(keyed).write.partitionBy("source_id").parquet(path)

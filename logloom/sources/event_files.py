@@ -62,18 +62,6 @@ def read_json_events_with_errors(spark: SparkSession, path: str | list[str]) ->
     return good, parsed.filter("_broken").select(F.col("value").alias("record"))
 
 
-def read_lake(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a lake; a filter on ``source_id`` prunes folders."""
-    stored = T.StructType(
-        [
-            *EVENT_SCHEMA.fields,
-            T.StructField("category_key", T.StringType()),
-            T.StructField("severity_rank", T.IntegerType()),
-        ]
-    )
-    return spark.read.schema(stored).parquet(path)
-
-
 def events_from_rows(spark: SparkSession, rows: Iterable[dict | tuple]) -> DataFrame:
     """In-memory events, for small fixed inputs."""
     return spark.createDataFrame(list(rows), EVENT_SCHEMA)

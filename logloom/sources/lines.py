@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.schema import LINE_SCHEMA
+from logloom.functions.parsing import with_line_kind
+from logloom.schema import LANDED_SCHEMA, LINE_SCHEMA
 from logloom.sources.scratch import scratch_path
 
 
 # A block's place in its source: the file's place, then the byte offset in the file (below 2 ** OFFSET_BITS).
 OFFSET_BITS = 44
+# Names of files that Spark reads as one split, and lines of a block that is cut from one.
+COMPRESSED = r"(?i)\.(gz|gzip|zst|zstd|snappy|lz4|deflate|xz)$"
+LANDED_LINES = 1 << 16
 
 
 def scan_lines(
@@ -42,6 +46,7 @@ def read_lines(
     source_id: Column | None = None,
     landing: str | None = None,
     file_place: Column | None = None,
+    block_lines: int = LANDED_LINES,
 ) -> DataFrame:
     """Land the scanned lines as a table and return it.
 
@@ -50,11 +55,32 @@ def read_lines(
     differently when executors come or go. The table also makes the first look
     a narrow one. ``landing`` names the folder; by default it is a new one
     under the session's checkpoint folder.
+
+    A compressed file is one split however large it is. It is read by one task
+    once; its lines are landed as blocks of ``block_lines``, which are work of
+    their own from then on.
     """
-    target = landing or scratch_path(spark, "lines")
-    scan_lines(spark, path, source_id, file_place).write.parquet(target)
-    return landed_lines(spark, target)
+    lines = scan_lines(spark, path, source_id, file_place)
+    # Ids of a task begin at a multiple of 2 ** 33. A later block takes a later byte of the file as its name.
+    part = F.expr(f"(pos & {(1 << 33) - 1}L) div {int(block_lines)}L")
+    block = F.when(F.rlike("source_path", F.lit(COMPRESSED)), F.col("block") + part).otherwise(F.col("block"))
+    return _landed(lines.withColumn("block", block), landing, block_lines)
+
+
+def land_lines(lines: DataFrame, landing: str | None = None) -> DataFrame:
+    """Land lines of another origin, with ``block`` and an order inside it, like those of a file."""
+    keys = ["source_id", "block"]
+    in_order = lines.repartition(*keys).sortWithinPartitions(*keys, "pos")
+    return _landed(in_order.withColumn("pos", F.monotonically_increasing_id()), landing, LANDED_LINES)
+
+
+def _landed(lines: DataFrame, landing: str | None, block_lines: int) -> DataFrame:
+    target = landing or scratch_path(lines.sparkSession, "lines")
+    judged = with_line_kind(lines.select(*LINE_SCHEMA.names)).withColumnsRenamed({"_starts": "starts", "_blank": "blank"})
+    # Files of bounded size, so that what one task has read many can work on.
+    judged.select(*LANDED_SCHEMA.names).write.option("maxRecordsPerFile", 16 * block_lines).parquet(target)
+    return landed_lines(lines.sparkSession, target)
 
 
 def landed_lines(spark: SparkSession, landing: str) -> DataFrame:
-    return spark.read.schema(LINE_SCHEMA).parquet(landing)
+    return spark.read.schema(LANDED_SCHEMA).parquet(landing)

@@ -1,17 +1,15 @@
 """Structured Streaming over events.
 
 Redaction and filters are stateless, so the batch functions apply unchanged.
-Stitching lines stays a batch job: micro-batches of files carry no line order
-from one to the next.
+Bursts keep a state (``burst_state``). Stitching lines stays a batch job:
+micro-batches of files carry no line order from one to the next.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.operators.dedupe import CONTINUATION_JOINT
 from logloom.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from logloom.sinks.event_files import to_ndjson
 from logloom.sources.event_files import parse_json_events
@@ -43,39 +41,3 @@ def write_json_stream(events: DataFrame, path: str, checkpoint: str) -> Streamin
         .start()
     )
 
-
-def stream_bursts(events: DataFrame, delay: str = "1 hour", gap: str = "10 seconds") -> DataFrame:
-    """Repeats of one key within ``gap`` of each other, as watermarked sessions.
-
-    Unlike the batch bursts, other events in between do not end a session.
-    """
-    keyed = events.filter(F.col("timestamp").isNotNull()).select(
-        "source_id",
-        "category",
-        "verbosity",
-        "message",
-        F.concat_ws(CONTINUATION_JOINT, "continuation_lines").alias("continuation"),
-        F.col("timestamp").cast("timestamp").alias("_time"),
-    )
-    return (
-        keyed.withWatermark("_time", delay)
-        .groupBy(
-            F.session_window("_time", gap).alias("_session"),
-            "source_id",
-            "category",
-            "verbosity",
-            "message",
-            "continuation",
-        )
-        .agg(F.count(F.lit(1)).alias("count"), F.max("_time").alias("_last"))
-        .select(
-            "source_id",
-            "category",
-            "verbosity",
-            "message",
-            "continuation",
-            F.col("_session.start").cast("timestamp_ntz").alias("first_timestamp"),
-            F.col("_last").cast("timestamp_ntz").alias("last_timestamp"),
-            "count",
-        )
-    )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
 import random
+import re
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import dedupe, ingest, ordered, paging, timing
+from logloom.sources.lines import land_lines, read_lines
 from tests import sequential
 from tests.helpers import event, events_frame, lines_frame
 
@@ -49,6 +52,92 @@ def test_stitching_and_numbering(spark, block):
     }
 
 
+def landed(spark, logs, block, tmp_path):
+    return land_lines(lines_frame(spark, logs, block), f"{tmp_path}/{block}")
+
+
+@pytest.mark.parametrize("block", [1, 4, 1000])
+@pytest.mark.parametrize("small", [True, False])
+def test_landed_lines(spark, tmp_path, monkeypatch, block, small):
+    if not small:
+        monkeypatch.setattr("logloom.sources.scratch.BROADCAST_MAX_ROWS", -1)
+    logs = random_logs(block + 7)
+    lines = landed(spark, logs, block, tmp_path)
+    expected = {(s, n): (raw, rest) for s, texts in logs.items() for n, raw, rest in sequential.stitch(texts)}
+
+    marked = ingest.mark_heads(lines, contiguous=True).collect()
+    assert {(r["source_id"], r["line_number"]) for r in marked if r["is_head"]} == set(expected)
+    assert {(r["source_id"], r["line_number"]): r["value"] for r in marked} == {
+        (s, i): text for s, texts in logs.items() for i, text in enumerate(texts, 1) if text.strip()
+    }
+    heads = ingest.stitch_continuations(lines, include=False, contiguous=True).collect()
+    assert {(r["source_id"], r["line_number"]): r["raw"] for r in heads} == {k: raw for k, (raw, _) in expected.items()}
+    whole = ingest.stitch_continuations(lines, contiguous=True).collect()
+    assert {(r["source_id"], r["line_number"]): (r["raw"], r["continuation_lines"]) for r in whole} == expected
+    owned = ingest.assign_event_lines(lines, contiguous=True).where("not is_head").collect()
+    assert sorted((r["source_id"], r["event_line"], r["value"].strip()) for r in owned) == sorted(
+        (s, n, text) for (s, n), (_, rest) in expected.items() for text in rest
+    )
+
+
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_chunks_of_events(spark, tmp_path, block):
+    logs = random_logs(block + 3)
+    expected = {(s, n): (raw, rest) for s, texts in logs.items() for n, raw, rest in sequential.stitch(texts)}
+    chunks = ingest.stitch_in_chunks(landed(spark, logs, block, tmp_path), contiguous=True).collect()
+    found = {}
+    for row in sorted(chunks, key=lambda r: r["block"]):
+        raw, rest = found.get((row["source_id"], row["line_number"]), (None, []))
+        found[row["source_id"], row["line_number"]] = (raw or row["raw"], rest + row["continuation_lines"])
+        assert len(row["continuation_lines"]) <= block
+    assert found == expected
+
+
+def test_heads_are_found_without_moving_text(spark, tmp_path):
+    lines = landed(spark, random_logs(5), 4, tmp_path)
+    for df in (ingest.mark_heads(lines, True), ingest.stitch_continuations(lines, False, True)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # The other scan is that of the small table of blocks.
+        assert plan.count("Exchange hashpartitioning") == 0 and plan.count("FileScan parquet") == 2
+        assert len(re.findall(r"FileScan parquet \[[^\]]*value#", plan)) == 1
+
+
+def test_an_event_over_many_blocks_is_many_partitions(spark, tmp_path):
+    logs = {"a": ["LogA: head"] + [f"  part {n}" for n in range(2000)] + ["LogA: end"]}
+    lines = landed(spark, logs, 10, tmp_path)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        owned = ingest.assign_event_lines(lines, contiguous=True)
+        counted = F.count(F.lit(1)).alias("count"), F.max("event_line")
+        sizes = owned.groupBy(F.spark_partition_id().alias("p")).agg(*counted).collect()
+        assert {r["event_line"] for r in owned.select("event_line").distinct().collect()} == {1, 2002}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in sizes) < 1000
+
+
+def test_a_compressed_log_is_worked_on_in_blocks(spark, tmp_path):
+    texts = [f"LogA: line {n}" if n % 50 else "  more" for n in range(1, 200_001)]
+    with gzip.open(tmp_path / "big.log.gz", "wt") as file:
+        file.write("".join(f"{text}\n" for text in texts))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = read_lines(spark, str(tmp_path / "big.log.gz"), F.lit("big"))
+        events = ingest.parse_events(lines, contiguous=True)
+        parts = events.groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("line_number").alias("last")
+        )
+        found = parts.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert lines.select("block").distinct().count() == 4
+    assert sum(r["n"] for r in found) == 196_000 and max(r["last"] for r in found) == 199_999
+    assert len(found) > 1
+
+
 def test_shuffled_form_gives_the_same(spark, monkeypatch):
     """The way without broadcast, for block tables that are not proven small."""
     monkeypatch.setattr("logloom.sources.scratch.BROADCAST_MAX_ROWS", -1)

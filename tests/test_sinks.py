@@ -63,16 +63,6 @@ def test_contract(spark):
         assert_event_schema(frame.withColumn("line_number", F.lit(1)))
 
 
-def test_lake_prunes(spark, tmp_path):
-    frame = events_frame(spark, *[event(i, source=s) for s in ("a", "b") for i in range(1, 20)], FULL)
-    path = str(tmp_path / "lake")
-    sinks.write_lake(frame, path)
-    lake = sources.read_lake(spark, path).filter("source_id = 'b' AND severity_rank >= 2 AND category_key = 'loggame'")
-    plan = lake.select("line_number")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(source_id" in plan and "GreaterThanOrEqual(severity_rank,2)" in plan
-    assert lines_of(lake) == list(range(1, 20))
-
-
 def test_stream(spark, tmp_path):
     source, target, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     frame = events_frame(spark, FULL, event(5, message="ticket=1"))
@@ -85,19 +75,6 @@ def test_stream(spark, tmp_path):
     assert sources.read_json_events(spark, target).count() == 2
 
 
-def test_stream_bursts(spark, tmp_path):
-    source, target, state = (str(tmp_path / name) for name in ("in", "out", "state"))
-    rows_in = [event(1, message="p", seconds=0), event(2, message="q", seconds=1), event(3, message="p", seconds=10),
-               event(4, message="p", seconds=21), event(5, message="late", seconds=9000)]
-    events_frame(spark, *rows_in).coalesce(1).write.parquet(source)
-    stream = event_stream.stream_bursts(event_stream.stream_parquet_events(spark, source))
-    run = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
-    run.awaitTermination()
-    found = spark.read.schema(stream.schema).parquet(target).collect()
-    closed = sorted((r["message"], (r["first_timestamp"] - START).total_seconds(), r["count"]) for r in found)
-    assert closed == [("p", 0.0, 2), ("p", 21.0, 1), ("q", 1.0, 1)]
-
-
 @pytest.mark.parametrize(
     "bad",
     [
