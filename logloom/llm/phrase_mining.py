@@ -23,9 +23,10 @@ right part. The phrases that extend it by a word are the rows that name it as a
 part; a longer phrase around it is never more frequent than these, so the most
 frequent of them decides whether it is dropped.
 
-Shards are made where the texts are read; texts are never shuffled. Every table
-is joined by shuffle on keys of which a shard has one row, and no list passes
-through the driver. A text is cut into shards at the ends of pieces only, so
+Shards are made where the texts are read; texts are never shuffled. What a shard
+counts is shuffled once by phrase, summed there, and what is frequent goes back
+to its shard. A shard has one row of a phrase, and no list passes through the
+driver. A text is cut into shards at the ends of pieces only, so
 memory is bounded by ``shard_bytes`` and the longest piece.
 
 Defined results: null texts count as empty, a null language is ``und``. Repeated
@@ -52,7 +53,7 @@ from logloom.sources.scratch import delete_folder, scratch_path, settle
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 MARKS = bytes(46 if c in ENDS else 32 if c == 9 else c for c in LOWER)
 UNKNOWN = "und"
-FIRST_ROW = "shard string, lang string, word string, place int, n long, words binary"
+FIRST_ROW = "shard long, lang string, word string, place int, n long, words binary"
 SALTS = 64
 
 
@@ -98,7 +99,7 @@ class Shard:
         self.parts += [numbers, np.zeros(1, np.uint32)]
         self.held += len(raw)
 
-    def table(self, name: str) -> pa.Table:
+    def table(self, name: int) -> pa.Table:
         """A row for each word, and one for the sequence."""
         numbers, size = np.concatenate(self.parts), len(self.words)
         langs = np.zeros(size, np.int32)
@@ -107,7 +108,7 @@ class Shard:
             langs[places[places > 0]] = at
         blank = np.arange(size) == 0  # the row of the sequence
         columns = {
-            "shard": pa.array([name]).take(pa.array(np.zeros(size, np.int32))),
+            "shard": pa.array(np.full(size, name, np.int64)),
             "lang": pa.array([*self.known, ""], pa.string()).take(pa.array(langs, mask=blank)),
             "word": pa.array([None, *self.words[1:]], pa.binary()).cast(pa.string()),
             "place": pa.array(np.arange(size, dtype=np.int32), mask=blank),
@@ -144,16 +145,16 @@ def shards(docs: DataFrame, phrases: Phrases) -> DataFrame:
     """Rows of words (shard, lang, word, place, n), and one row of each shard's sequence. ``docs``: lang, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Shards and counts are written together, so a name only has to differ inside the table.
-        partition, number, shard = TaskContext.get().partitionId(), 0, Shard()
+        name, shard = TaskContext.get().partitionId() << 32, Shard()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part in parts_of(text.as_py(), phrases.shard_bytes):
                     shard.add(lang, part)
                     if shard.held >= phrases.shard_bytes:
-                        yield from shard.table(f"{partition}-{number}").to_batches(max_chunksize=1 << 15)
-                        number, shard = number + 1, Shard()
-        yield from shard.table(f"{partition}-{number}").to_batches(max_chunksize=1 << 15)
+                        yield from shard.table(name).to_batches(max_chunksize=1 << 15)
+                        name, shard = name + 1, Shard()
+        yield from shard.table(name).to_batches(max_chunksize=1 << 15)
 
     return docs.mapInArrow(run, FIRST_ROW)
 
@@ -271,8 +272,8 @@ def dense(ids: np.ndarray) -> np.ndarray:
 
 # A shard's sequence at some depth: the word ids, and for each place the id of the phrase
 # of the depth before that begins there (0: none; the last words of a run).
-STATE = "shard string, words binary, phrases binary"
-COUNT = "shard string, left long, right long, n long"
+STATE = "shard long, words binary, phrases binary"
+COUNT = "shard long, left long, right long, n long"
 
 
 def unpack(words: bytes, phrases: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +294,7 @@ def shard_counts(state: DataFrame, depth: int) -> DataFrame:
             for shard, words, phrases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 left, right, n = counted(*unpack(words, phrases), depth)
                 order = np.lexsort((right, left))
-                names = pa.array([shard]).take(pa.array(np.zeros(len(n), np.int32)))
+                names = np.full(len(n), shard, np.int64)
                 table = pa.table([names, left[order], right[order], n[order]], names=["shard", "left", "right", "n"])
                 yield from table.to_batches(max_chunksize=1 << 15)
 
@@ -345,9 +346,9 @@ def with_answers(state: DataFrame, answers: DataFrame, step: Callable) -> DataFr
         own = table.column("words").is_valid()
         row, rest = table.filter(own).to_pylist(), table.filter(pc.invert(own))
         if not row or not rest.num_rows:
-            return pa.table({name: pa.array([], pa.string() if name == "shard" else pa.binary()) for name in names[:3]})
+            return pa.table({name: pa.array([], pa.int64() if name == "shard" else pa.binary()) for name in names[:3]})
         words, phrases = step(row[0]["words"], row[0]["phrases"], *(rest.column(c).to_numpy() for c in names[3:]))
-        new = {"shard": pa.array([row[0]["shard"]]), "words": pa.array([squash(words)], pa.binary())}
+        new = {"shard": pa.array([row[0]["shard"]], pa.int64()), "words": pa.array([squash(words)], pa.binary())}
         return pa.table(new | {"phrases": pa.array([squash(phrases)], pa.binary())})
 
     unset = [F.lit(None).cast("long").alias(name) for name in names[3:]]
@@ -380,9 +381,17 @@ def next_state(state: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
     return with_answers(state, answers, step)
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """With ``id``, a number above 0 that no other row has once the table is written."""
-    return rows.withColumn("id", F.monotonically_increasing_id() + 1)
+def frequent_in_all(rows: DataFrame, least: int, *keys: str) -> DataFrame:
+    """The rows (of shards) whose key occurs often enough in all shards together.
+
+    They get ``f``, the sum of ``n`` over the key, ``id``, a number above 0 that
+    no other key has, and ``first``, true in one row of each key. A shard has
+    one row of a key at most, so no key has more rows than there are shards.
+    """
+    key = Window.partitionBy(*keys)
+    own = rows.withColumn("own", F.monotonically_increasing_id() + 1)
+    found = own.withColumns({"f": F.sum("n").over(key), "id": F.min("own").over(key)}).where(F.col("f") >= least)
+    return found.withColumn("first", F.col("own") == F.col("id")).drop("own", "n")
 
 
 def mine(docs: DataFrame, phrases: Phrases = Phrases(), lang: str = "lang", text: str = "text") -> list[DataFrame]:
@@ -400,11 +409,11 @@ def mine(docs: DataFrame, phrases: Phrases = Phrases(), lang: str = "lang", text
     written = spark.read.schema(f"{FIRST_ROW}, what string").parquet(f"{folder}/shards")
     words, sequences = written.where("what = 'word'"), written.where("what = 'shard'")
 
-    sums = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    sizes = settle(sums.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
-    frequent = sums.where(F.col("f") >= phrases.least).join(sizes, "lang")
+    sizes = settle(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    kept = words.select("shard", "place", "lang", "word", "n")
+    kept = settle(frequent_in_all(kept, phrases.least, "lang", "word"), "words", f"{folder}/words")
     none, word, one = F.lit(0).cast("long"), F.col("word"), F.array("f")
-    frequent = numbered(frequent).select(
+    table = kept.where("first").join(sizes, "lang").select(
         "id",
         none.alias("left"),
         none.alias("right"),
@@ -415,27 +424,25 @@ def mine(docs: DataFrame, phrases: Phrases = Phrases(), lang: str = "lang", text
         one.alias("heads"),
         one.alias("tails"),
     )
-    tables = [settle(frequent, "phrases-1")]
-    named = tables[0].select("id", "lang", F.col("phrase").alias("word"))
-    answers = words.select("shard", "place", "lang", "word").join(named, ["lang", "word"]).select("shard", "place", "id")
-    state = settle(first_state(sequences, answers), "state", f"{folder}/state-1")
+    tables = [settle(table, "phrases-1")]
+    state = settle(first_state(sequences, kept.select("shard", "place", "id")), "state", f"{folder}/state-1")
     delete_folder(spark, f"{folder}/shards")
+    delete_folder(spark, f"{folder}/words")
     for depth in range(2, phrases.longest + 1):
-        # Read twice: for the sums, and for what each shard has to know of them.
-        counts = settle(shard_counts(state, depth), "counts", f"{folder}/counts-{depth}")
-        sums = counts.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= phrases.least)
-        sums = settle(numbered(sums), f"sums-{depth}")
+        kept = frequent_in_all(shard_counts(state, depth), phrases.least, "left", "right")
+        kept = settle(kept, "counts", f"{folder}/counts-{depth}")
         if depth < phrases.longest:
-            found = counts.select("shard", "left", "right").join(sums.select("left", "right", "id"), ["left", "right"])
-            state = settle(next_state(state, found, depth), "state", f"{folder}/state-{depth}")
+            answers = kept.select("shard", "left", "right", "id")
+            state = settle(next_state(state, answers, depth), "state", f"{folder}/state-{depth}")
+        tables.append(settle(longer(kept.where("first"), tables[-1]), f"phrases-{depth}"))
         delete_folder(spark, f"{folder}/state-{depth - 1}")
         delete_folder(spark, f"{folder}/counts-{depth}")
-        tables.append(settle(longer(sums, tables[-1]), f"phrases-{depth}"))
     return tables
 
 
 def longer(sums: DataFrame, parts: DataFrame) -> DataFrame:
     """The table of frequent phrases from their sums (id, left, right, f) and the table of their parts."""
+    sums = sums.select("id", "left", "right", "f")
     left = parts.select(
         F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("begins"), F.col("heads").alias("begin_counts")
     )
