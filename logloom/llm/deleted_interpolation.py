@@ -22,6 +22,8 @@ shared folder once they are answered.
 
 Defined results: null and empty texts have one token, their end. Texts learn if
 ``remainder`` of their id is not 2; of these, remainder 3 is what EM holds out.
+Repeated rows count as often as they occur and get equal results; a null id
+stays null.
 Without learning texts the score is uniform: every token 1 / (V + 1) with V = 0.
 """
 
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +111,9 @@ def packed_block(ids: list, kinds: np.ndarray, texts: list, ranges: int, block:
             if b > a:
                 steps = np.diff(keys[a:b], prepend=np.uint64(0))
                 yield r, block, what, squash(steps), squash(counts[a:b].ravel())
-    head = np.stack([np.array(ids, np.int64), kinds.astype(np.int64), sizes.astype(np.int64)], 1)
+    missing = np.array([i is None for i in ids], np.int64)
+    known = np.array([i or 0 for i in ids], np.int64)
+    head = np.stack([known, missing, kinds.astype(np.int64), sizes.astype(np.int64)], 1)
     # The hashes in word order are needed again to find the order of the answers.
     yield -1, block, "d", squash(head.ravel()), squash(numbers)
     yield -1, block, "h", squash(hashes), b""
@@ -117,6 +121,7 @@ def packed_block(ids: list, kinds: np.ndarray, texts: list, ranges: int, block:
 
 PACKED = "numbers binary, head binary, words binary, bigrams binary"
 ROWS = "range int, block string, what string, a binary, b binary"
+SUMS = ["kept", "held", "vocabulary"]
 
 
 def blocks(docs: DataFrame, model: Model, ranges: int) -> DataFrame:
@@ -126,21 +131,18 @@ def blocks(docs: DataFrame, model: Model, ranges: int) -> DataFrame:
         ids, kinds, texts, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            # Named after its contents, so a task that runs again makes the same block.
-            mark = xxhash.xxh3_64()
-            for i, text in zip(ids, texts, strict=True):
-                mark.update(f"{i}:{len(text or '')};")
-            block = f"{ids[0]}-{len(ids)}-{mark.hexdigest()}-{part[0]}"
+            # All rows of a block are written by one task, so a name only has to differ inside the table.
+            block = f"{partition}-{part[0]}"
             part[0] += 1
             for row in packed_block(ids, np.array(kinds), texts, ranges, block):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], k) for x, k in zip(row, kinds_of, strict=True)], names=names
                 )
 
-        part = [0]
+        partition, part = TaskContext.get().partitionId(), [0]
         for batch in batches:
             for i, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids.append(-1 if i is None else i)
+                ids.append(i)
                 kinds.append(kind)
                 texts.append(text)
                 held += len(text or "") + 8
@@ -167,27 +169,28 @@ def add_up(pdf: pd.DataFrame) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarra
 
 
 def answers(requests: DataFrame) -> DataFrame:
-    """Rows like the requests, with totals in place of keys; row kind ``s`` has a range's sums."""
+    """Rows like the requests, with totals in place of keys; a row of kind ``s`` has the sums over a range's words."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         what, r = pdf["what"].iloc[0], int(pdf["range"].iloc[0])
         distinct, totals, places = add_up(pdf)
         rows = [
-            (r, block, what, squash(totals[p].astype(np.uint32).ravel()), b"")
+            (r, block, what, squash(totals[p].astype(np.uint32).ravel()), b"", None, None, None)
             for block, p in zip(pdf["block"], places, strict=True)
         ]
         if what == "w":
             both = totals.sum(1)
-            sums = np.array([totals[:, 0].sum(), totals[:, 1].sum(), np.count_nonzero(both)], np.int64)
-            rows.append((r, "", "s", sums.tobytes(), b""))
-        return pd.DataFrame(rows, columns=["range", "block", "what", "a", "b"])
+            rows.append((r, "", "s", b"", b"", *(int(x) for x in totals.sum(0)), int(np.count_nonzero(both))))
+        found = pd.DataFrame(rows, columns=["range", "block", "what", "a", "b", *SUMS])
+        return found.astype(dict.fromkeys(SUMS, "Int64"))
 
-    return requests.groupBy("range", "what").applyInPandas(run, ROWS)
+    return requests.groupBy("range", "what").applyInPandas(run, f"{ROWS}, {', '.join(f'{name} long' for name in SUMS)}")
 
 
 @dataclass
 class Block:
     ids: np.ndarray
+    missing: np.ndarray  # 1 where the id is null
     kinds: np.ndarray
     sizes: np.ndarray
     numbers: np.ndarray
@@ -201,9 +204,9 @@ def assembled(pdf: pd.DataFrame) -> Block:
     """A block from its documents and the answers to its requests."""
     by_kind = {what: rows for what, rows in pdf.groupby("what")}
     doc, hashes = by_kind["d"].iloc[0], unsquash(by_kind["h"]["a"].iloc[0], np.uint64)
-    head = unsquash(doc["a"], np.int64).reshape(-1, 3)
+    head = unsquash(doc["a"], np.int64).reshape(-1, 4)
     numbers = unsquash(doc["b"], np.uint32).astype(np.int64)
-    distinct, place = pairs(numbers.astype(np.uint32), head[:, 2])
+    distinct, place = pairs(numbers.astype(np.uint32), head[:, 3])
     keys = {"w": hashes, "b": mixed(hashes[distinct >> 32], hashes[distinct & 0xFFFFFFFF])}
     totals = {}
     for what, key in keys.items():
@@ -212,25 +215,25 @@ def assembled(pdf: pd.DataFrame) -> Block:
         totals[what] = np.empty_like(found)
         totals[what][np.argsort(key, kind="stable")] = found
     context = np.concatenate((np.zeros(1, np.int64), numbers[:-1]))
-    return Block(head[:, 0], head[:, 1], head[:, 2], numbers, context, place, totals["w"], totals["b"])
+    return Block(*head.T, numbers, context, place, totals["w"], totals["b"])
 
 
 def packed(block: Block) -> pd.DataFrame:
     """One row that holds all of a block but its hashes."""
-    head = np.stack([block.ids, block.kinds, block.sizes], 1).ravel()
+    head = np.stack([block.ids, block.missing, block.kinds, block.sizes], 1).ravel()
     arrays = (block.numbers.astype(np.uint32), head, block.words.ravel(), block.bigrams.ravel())
     row = [squash(arrays[0]), squash(arrays[1]), *(squash(x.astype(np.uint32)) for x in arrays[2:])]
     return pd.DataFrame([row], columns=["numbers", "head", "words", "bigrams"])
 
 
 def unpacked(row) -> Block:
-    head = unsquash(row.head, np.int64).reshape(-1, 3)
+    head = unsquash(row.head, np.int64).reshape(-1, 4)
     numbers = unsquash(row.numbers, np.uint32)
-    _, place = pairs(numbers, head[:, 2])
+    _, place = pairs(numbers, head[:, 3])
     words, bigrams = (unsquash(x, np.uint32).reshape(-1, 2).astype(np.int64) for x in (row.words, row.bigrams))
     numbers = numbers.astype(np.int64)
     context = np.concatenate((np.zeros(1, np.int64), numbers[:-1]))
-    return Block(head[:, 0], head[:, 1], head[:, 2], numbers, context, place, words, bigrams)
+    return Block(*head.T, numbers, context, place, words, bigrams)
 
 
 def per_block(table: DataFrame, work: Callable[[Block], pd.DataFrame], schema: str) -> DataFrame:
@@ -311,7 +314,7 @@ def scored(block: Block, weights: np.ndarray, tokens: int, vocabulary: int, rema
     starts = np.concatenate(([0], np.cumsum(block.sizes)[:-1])).astype(np.int64)
     return pd.DataFrame(
         {
-            "doc_id": block.ids,
+            "doc_id": pd.arrays.IntegerArray(block.ids.astype(np.int64), block.missing.astype(bool)),
             "held_out": block.kinds == remainder_out,
             "n_tokens": block.sizes,
             "n_known": np.add.reduceat(known, starts),
@@ -323,7 +326,7 @@ def scored(block: Block, weights: np.ndarray, tokens: int, vocabulary: int, rema
 
 
 def score(docs: DataFrame, model: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document; a null id becomes -1."""
+    """One row per row of ``docs``."""
     spark = docs.sparkSession
     rest = remainder(doc_id, model.modulus)
     kind = F.when(rest == model.held_out, 0).when(rest == model.em_part, 2).otherwise(1)
@@ -338,10 +341,9 @@ def score(docs: DataFrame, model: Model = Model(), doc_id: str = "doc_id", text:
     requests, documents = table.where("request = 1").drop("request"), table.where("request = 0").drop("request")
     replies = settle(answers(requests), "answers")
     forget(spark, f"{path}/request=1")
-    sums = [np.frombuffer(r["a"], np.int64) for r in replies.where("what = 's'").select("a").collect()]
-    kept, held, vocabulary = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0, 0)))
+    kept, held, vocabulary = (x or 0 for x in replies.agg(*[F.sum(name) for name in SUMS]).first())
 
-    parts = documents.unionByName(replies.where("what <> 's'"))
+    parts = documents.unionByName(replies.where("what <> 's'").drop(*SUMS))
     whole = settle(parts.groupBy("block").applyInPandas(lambda pdf: packed(assembled(pdf)), PACKED), "whole")
     forget(spark, f"{path}/request=0")
 

@@ -291,7 +291,7 @@ def test_language_model(docs, none):
         if zlib.crc32(key.encode()) % 7 != 2:
             tokens.update([*words(r["text"]), None])
     n, v = sum(tokens.values()), len(tokens)
-    texts = {-1 if r["doc_id"] is None else r["doc_id"]: r["text"] for r in docs.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(rows) == docs.count()
     for r in rows:
         own = [*words(texts[r["doc_id"]]), None]
