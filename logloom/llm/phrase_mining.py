@@ -271,13 +271,15 @@ def dense(ids: np.ndarray) -> np.ndarray:
 # --- depth by depth ------------------------------------------------------------
 
 # A shard's sequence at some depth: the word ids, and for each place the id of the phrase
-# of the depth before that begins there (0: none; the last words of a run).
+# of the depth before that begins there (0: none; the last words of a run). At first these
+# are the words, and nothing is written for them.
 STATE = "shard long, words binary, phrases binary"
 COUNT = "shard long, left long, right long, n long"
 
 
 def unpack(words: bytes, phrases: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return unsquash(words, np.int64), unsquash(phrases, np.int64)
+    sequence = unsquash(words, np.int64)
+    return sequence, unsquash(phrases, np.int64) if phrases else sequence
 
 
 def counted(words: np.ndarray, phrases: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,7 +351,7 @@ def with_answers(state: DataFrame, answers: DataFrame, step: Callable) -> DataFr
             return pa.table({name: pa.array([], pa.int64() if name == "shard" else pa.binary()) for name in names[:3]})
         words, phrases = step(row[0]["words"], row[0]["phrases"], *(rest.column(c).to_numpy() for c in names[3:]))
         new = {"shard": pa.array([row[0]["shard"]], pa.int64()), "words": pa.array([squash(words)], pa.binary())}
-        return pa.table(new | {"phrases": pa.array([squash(phrases)], pa.binary())})
+        return pa.table(new | {"phrases": pa.array([b"" if phrases is words else squash(phrases)], pa.binary())})
 
     unset = [F.lit(None).cast("long").alias(name) for name in names[3:]]
     blank = [F.lit(None).cast("binary").alias(name) for name in names[1:3]]
@@ -364,7 +366,8 @@ def first_state(sequences: DataFrame, answers: DataFrame) -> DataFrame:
         numbers = unsquash(words, np.uint32)
         ids = np.zeros(int(numbers.max()) + 1, np.int64)
         ids[place] = found
-        return runs(ids[numbers], ids[numbers], 1)
+        sequence, _ = runs(ids[numbers], ids[numbers], 1)
+        return sequence, sequence
 
     state = sequences.select("shard", "words", F.lit(None).cast("binary").alias("phrases"))
     place = F.col("place").cast("long").alias("left")
