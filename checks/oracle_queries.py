@@ -330,6 +330,7 @@ final AS (
     ),
     "filter_time_window_untimed": with_documents("SELECT source_id, count(*) AS count FROM tv GROUP BY 1"),
     "base_timestamp": with_events("SELECT source_id, min(ts) AS base_timestamp FROM ev GROUP BY 1"),
+    "base_timestamp_stored": with_events("SELECT source_id, min(ts) AS base_timestamp FROM ev GROUP BY 1"),
     "filter_compound": with_events(
         f"SELECT {SHORT}, ts AS timestamp FROM eb WHERE lower(category) IN ('lognet', 'logonline') AND {RANK} >= 2 "
         "AND contains(lower(message), 'session') AND (base IS NULL OR "
@@ -393,6 +394,13 @@ FROM ev e JOIN (SELECT source_id, count(*) AS physical_lines FROM lines GROUP BY
         *_FIELDS,
     ),
     "dedupe_exact_documents": with_documents(dedupe("(SELECT *, [] AS conts FROM tv)", SHORT)),
+    "dedupe_profile": with_events(
+        dedupe("rp", SHORT),
+        *_RED_FIELDS,
+        _RV,
+        r"""rp AS (SELECT * REPLACE (regexp_replace(regexp_replace(message, 'code=\d+', '<code>', 'g'),
+  'after -?\d+', '<delay>', 'g') AS message) FROM rv)""",
+    ),
     "dedupe_normalized": with_events(
         dedupe(
             "rv",

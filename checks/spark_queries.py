@@ -14,7 +14,7 @@ from logloom.functions.severity import severity_rank
 from logloom.functions.time import milliseconds
 from logloom.operators import compare, dedupe, facets, filters, ingest, paging, semantics, timing
 from logloom.operators.findings import land_findings
-from logloom.operators.redact import extract_profile_fields, redact
+from logloom.operators.redact import redact
 from logloom.plans import bridge, commands, report
 from logloom.plans.log_query import LogQuery
 from logloom.plans.profiles import load_profile
@@ -38,6 +38,13 @@ COMPOUND = LogQuery.from_options(
     since="00:30:00",
     until="12.00:00:00",
 )
+PATTERNS = load_profile(
+    {
+        "name": "patterns",
+        "field_patterns": {"Failure": r"(\w+Failure)\b", "code": r"code=(\d+)", "a": r"(?:^| )a=(\d)"},
+        "dedupe_patterns": {"code": r"code=\d+", "delay": r"after -?\d+"},
+    }
+)
 LEFT, RIGHT = "src0", "src1"
 CONTEXT = ("src1", 40, 5, 7)
 
@@ -62,6 +69,13 @@ def heads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.parsed_events(spark, sf_dir, ingest.ParserOptions(include_continuation_lines=False))
 
 
+def heads_and_bases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as ``heads_of``, and the base times taken from the prefixes of the same lines."""
+    lines = bridge.log_lines(spark, sf_dir)
+    options = ingest.ParserOptions(include_continuation_lines=False)
+    return ingest.parse_events(lines, options, contiguous=True), ingest.base_timestamps(lines, contiguous=True)
+
+
 def block_rows(spark: SparkSession, sf_dir: str) -> int:
     return bridge.event_block_rows(spark, sf_dir)
 
@@ -347,8 +361,9 @@ def redact_extended(spark, sf_dir):
 
 @query
 def profile_fields(spark, sf_dir):
-    patterns = {"Failure": r"(\w+Failure)\b", "code": r"code=(\d+)", "a": r"(?:^| )a=(\d)"}
-    found = extract_profile_fields(heads_of(spark, sf_dir), patterns)
+    """The parse command with a profile that has patterns of its own."""
+    heads = ingest.ParserOptions(include_continuation_lines=False)
+    found = commands.parse(bridge.log_lines(spark, sf_dir), heads, contiguous=True, profile=PATTERNS)
     return found.select("source_id", "line_number", fields_text())
 
 
@@ -400,7 +415,8 @@ def filter_contains(spark, sf_dir):
 @query
 def filter_time_window(spark, sf_dir):
     window = {"since": timedelta(minutes=1), "until": timedelta(days=3)}
-    return short(filters.time_window(heads_of(spark, sf_dir), **window), "timestamp")
+    events, bases = heads_and_bases(spark, sf_dir)
+    return short(filters.time_window(events, **window, bases=bases), "timestamp")
 
 
 @query
@@ -413,12 +429,21 @@ def filter_time_window_untimed(spark, sf_dir):
 
 @query
 def base_timestamp(spark, sf_dir):
-    return filters.base_timestamps(heads_of(spark, sf_dir))
+    return ingest.base_timestamps(bridge.log_lines(spark, sf_dir), contiguous=True)
+
+
+@query
+def base_timestamp_stored(spark, sf_dir):
+    """From the statistics of a lake."""
+    path = scratch_path(spark, "lake")
+    lake.write_lake(events_of(spark, sf_dir), path)
+    return lake.base_timestamps(spark, path)
 
 
 @query
 def filter_compound(spark, sf_dir):
-    return short(filters.apply_query(heads_of(spark, sf_dir), COMPOUND, PROFILE), "timestamp")
+    events, bases = heads_and_bases(spark, sf_dir)
+    return short(filters.apply_query(events, COMPOUND, PROFILE, bases), "timestamp")
 
 
 @query
@@ -512,6 +537,13 @@ def dedupe_normalized(spark, sf_dir):
     return flat(dedupe.deduplicate(events_of(spark, sf_dir), "normalized"), "count")
 
 
+@query
+def dedupe_profile(spark, sf_dir):
+    """Normalized de-duplication by the placeholders of a profile."""
+    events = events_of(spark, sf_dir)
+    return short(dedupe.deduplicate(events, "normalized", rules=PATTERNS.normalizing_rules), "count")
+
+
 def _bursts(spark, sf_dir):
     events = events_of(spark, sf_dir).select(*dedupe.KEY_COLUMNS)
     return dedupe.deduplicate(events, "burst", block_rows(spark, sf_dir))
@@ -570,7 +602,7 @@ def time_gaps(spark, sf_dir):
 
 @query
 def relative_time(spark, sf_dir):
-    timed = timing.with_relative_time(heads_of(spark, sf_dir))
+    timed = timing.with_relative_time(*heads_and_bases(spark, sf_dir))
     return timed.select("source_id", "line_number", ms("relative_time", "relative_ms"))
 
 

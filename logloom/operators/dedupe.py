@@ -8,6 +8,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.redaction import STANDARD_RULES, RedactionRule
 from logloom.operators.ordered import (
     BLOCK,
     BLOCK_KEYS,
@@ -54,15 +55,24 @@ def key_digest() -> Column:
     return F.unhex(F.sha2(F.concat_ws(CONTINUATION_JOINT, lengths, *parts, joined).cast("binary"), 256))
 
 
-def deduplicate(events: DataFrame, mode: DedupeMode | str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Events with ``count``; in bursts also ``span``, the time from first to last."""
+def deduplicate(
+    events: DataFrame,
+    mode: DedupeMode | str,
+    block_rows: int = BLOCK_ROWS,
+    rules: tuple[RedactionRule, ...] = STANDARD_RULES,
+) -> DataFrame:
+    """Events with ``count``; in bursts also ``span``, the time from first to last.
+
+    ``rules`` say what the normalized form does not tell apart; a profile has
+    its own (``normalizing_rules``).
+    """
     mode = DedupeMode.parse(mode) if isinstance(mode, str) else mode
     if mode is DedupeMode.NONE:
         return events.withColumn("count", F.lit(1).cast("bigint"))
     if mode is DedupeMode.EXACT:
         return dedupe_by_key(events)
     if mode is DedupeMode.NORMALIZED:
-        return dedupe_by_key(redact(events))
+        return dedupe_by_key(redact(events, rules))
     return dedupe_bursts(events, block_rows)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.severity import rank_of, severity_rank
@@ -78,21 +78,19 @@ def base_timestamps(events: DataFrame) -> DataFrame:
 def with_base_timestamp(
     events: DataFrame, bases: DataFrame | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``base_timestamp``, taken over all events of the source.
+    """Add ``base_timestamp``, the earliest of the whole source.
 
-    The bases, one row per source, are settled and broadcast if proven small.
-    If not, they are spread over the blocks of their source, so that a
-    dominant source does not hang on a single join key.
+    ``bases`` (``source_id, base_timestamp``) may come from a cheaper look at
+    the log than its events are: from the prefixes of its lines or from the
+    statistics of a lake. The bases, one row per source, are settled and
+    broadcast if proven small. If not, they are spread over the blocks of their
+    source, so that a dominant source does not hang on a single join key.
     """
-    if bases is not None:
-        return events.join(bases, "source_id", "left")
-    lookup = settle_lookup(base_timestamps(events), "base-timestamps")
+    lookup = settle_lookup(base_timestamps(events) if bases is None else bases, "base-timestamps")
     if lookup.small:
         return events.join(F.broadcast(lookup.table), "source_id", "left")
     blocked = with_block(events, block_rows)
-    per_block = block_table(blocked, F.min("timestamp").alias("_first")).select(
-        *BLOCK_KEYS, F.min("_first").over(Window.partitionBy("source_id")).alias("base_timestamp")
-    )
+    per_block = block_table(blocked, F.count(F.lit(1)).alias("_rows")).drop("_rows").join(lookup.table, "source_id")
     return blocked.join(per_block, BLOCK_KEYS, "left").drop(BLOCK)
 
 

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.parsing import parse_heads, raw_text_hash, with_fields, with_line_kind
-from logloom.functions.text import is_blank, strip
+from logloom.functions.parsing import parse_heads, raw_text_hash, with_fields, with_line_kind, with_prefix
+from logloom.functions.text import is_blank, strip, strip_left
 from logloom.operators.ordered import (
     BLOCK,
     BLOCK_KEYS,
@@ -249,6 +249,13 @@ def stitch_continuations(lines: DataFrame, include: bool = True, contiguous: boo
     )
 
 
+def base_timestamps(lines: DataFrame, contiguous: bool = False) -> DataFrame:
+    """Earliest timestamp of each source, from the prefixes of its head lines; nothing else of them is parsed."""
+    heads = stitch_continuations(lines, include=False, contiguous=contiguous)
+    stamped = with_prefix(heads, strip_left(F.col("raw")))
+    return stamped.groupBy("source_id").agg(F.min("timestamp").alias("base_timestamp"))
+
+
 def parse_events(
     lines: DataFrame, options: ParserOptions = ParserOptions(), contiguous: bool = False
 ) -> DataFrame:

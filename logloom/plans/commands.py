@@ -6,20 +6,34 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from logloom.functions.redaction import STANDARD_RULES, RedactionRule
 from logloom.operators.dedupe import KEY_COLUMNS, DedupeMode, deduplicate
 from logloom.operators.facets import facet, facet_summary, summary_metrics
 from logloom.operators.filters import apply_query, exclude_noise
 from logloom.operators.ingest import ParserOptions, parse_events
 from logloom.operators.ordered import BLOCK_ROWS
-from logloom.operators.redact import redact
+from logloom.operators.redact import extract_profile_fields, redact
 from logloom.plans.log_query import EMPTY_QUERY, LogQuery
 from logloom.plans.profiles import LogProfile
 from logloom.plans.report import category_listing, clean_lines, facet_summary_json, matched_lines
 
 
-def parse(lines: DataFrame, options: ParserOptions = ParserOptions(), normalize: bool = False, contiguous: bool = False) -> DataFrame:
+def parse(
+    lines: DataFrame,
+    options: ParserOptions = ParserOptions(),
+    normalize: bool = False,
+    contiguous: bool = False,
+    profile: LogProfile | None = None,
+) -> DataFrame:
+    """Events; a profile adds the fields that its patterns find, and its placeholders to the normalized texts."""
     events = parse_events(lines, options, contiguous)
-    return redact(events) if normalize else events
+    if profile is not None:
+        events = extract_profile_fields(events, dict(profile.field_patterns))
+    return redact(events, _rules(profile)) if normalize else events
+
+
+def _rules(profile: LogProfile | None) -> tuple[RedactionRule, ...]:
+    return STANDARD_RULES if profile is None else profile.normalizing_rules
 
 
 def summarize(events: DataFrame, profile: LogProfile | None = None) -> DataFrame:
@@ -38,11 +52,17 @@ def filter_lines(
     if profile is not None:
         query = replace(query, exclude_profile_noise=True)
     matches = apply_query(events, query, profile, block_rows=block_rows)
-    return matched_lines(redact(matches) if normalize else matches)
+    return matched_lines(redact(matches, _rules(profile)) if normalize else matches)
 
 
-def clean(events: DataFrame, mode: DedupeMode | str = DedupeMode.NONE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return clean_lines(deduplicate(events.select(*KEY_COLUMNS), mode, block_rows))
+def clean(
+    events: DataFrame,
+    mode: DedupeMode | str = DedupeMode.NONE,
+    block_rows: int = BLOCK_ROWS,
+    profile: LogProfile | None = None,
+) -> DataFrame:
+    """Clean lines; a profile's placeholders decide what the normalized form does not tell apart."""
+    return clean_lines(deduplicate(events.select(*KEY_COLUMNS), mode, block_rows, _rules(profile)))
 
 
 def categories(events: DataFrame, profile: LogProfile | None = None, as_json: bool = False) -> DataFrame:

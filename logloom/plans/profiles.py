@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from logloom.functions.redaction import STANDARD_RULES, RedactionRule
+
 
 class ProfileError(ValueError):
     """A profile is unknown or incomplete."""
@@ -21,7 +23,16 @@ class LogProfile:
     important_categories: tuple[str, ...] = ()
     important_patterns: tuple[str, ...] = ()
     output_preferences: Mapping[str, str] = field(default_factory=dict)
+    # Field name to a pattern whose first group is the value.
     field_patterns: Mapping[str, str] = field(default_factory=dict)
+    # Placeholder name to a pattern of what it stands for in normalized texts.
+    dedupe_patterns: Mapping[str, str] = field(default_factory=dict)
+
+    @property
+    def normalizing_rules(self) -> tuple[RedactionRule, ...]:
+        """The standard redaction, then the profile's own placeholders in their order."""
+        own = [RedactionRule(f"<{name}>", f"()(?:{pattern})") for name, pattern in self.dedupe_patterns.items()]
+        return (*STANDARD_RULES, *own)
 
     @classmethod
     def from_mapping(cls, data: Mapping[str, Any], origin: str = "profile") -> LogProfile:
@@ -37,6 +48,7 @@ class LogProfile:
             important_patterns=tuple(data.get("important_patterns") or ()),
             output_preferences=dict(data.get("output_preferences") or {}),
             field_patterns=dict(data.get("field_patterns") or {}),
+            dedupe_patterns=dict(data.get("dedupe_patterns") or {}),
         )
 
     def extend(self, child: LogProfile) -> LogProfile:
@@ -55,6 +67,7 @@ class LogProfile:
             important_patterns=merged(self.important_patterns, child.important_patterns),
             output_preferences={**self.output_preferences, **child.output_preferences},
             field_patterns={**self.field_patterns, **child.field_patterns},
+            dedupe_patterns={**self.dedupe_patterns, **child.dedupe_patterns},
         )
 
 

@@ -1,10 +1,12 @@
 """An index of many logs: Parquet files in a fixed number of folders, and a manifest of what each file holds.
 
 Sources are dealt to ``buckets`` folders by hash, however many there are; inside,
-files follow (source, line). Every load is a folder of its own. Its manifest,
-one row per file with the ranges of sources, lines and times and the categories,
-is written last: a load counts from then on, and one that failed is not seen.
-Readers choose files by manifest, before any of them is opened.
+files follow (source, line). Every load is a folder of its own, with statistics
+of each source, from which base times and log metadata are read without the
+events. Its manifest, one row per file with the ranges of sources, lines and
+times and the categories, is written last: a load counts from then on, and one
+that failed is not seen. Readers choose files by manifest, before any of them is
+opened.
 """
 
 from __future__ import annotations
@@ -74,6 +76,14 @@ def write_lake(events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
         F.max("timestamp").alias("last_timestamp"),
         F.max("severity_rank").alias("highest_rank"),
     )
+    per_source = written.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min("line_number").alias("first_line"),
+        F.max("line_number").alias("last_line"),
+        F.min("timestamp").alias("first_timestamp"),
+        F.max("timestamp").alias("last_timestamp"),
+    )
+    per_source.write.parquet(f"{path}/sources/{load}")
     place = F.row_number().over(Window.partitionBy("file").orderBy("category_key"))
     listed = by_category.withColumn("_place", place)
     named = F.sort_array(F.collect_list(F.when(F.col("_place") <= LISTED_CATEGORIES, F.col("category_key"))))
@@ -96,6 +106,28 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{MANIFEST}, load string").parquet(f"{path}/manifest")
 
 
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics per source over all finished loads: events, range of lines, range of times."""
+    schema = (
+        "source_id string, events bigint, first_line bigint, last_line bigint, first_timestamp timestamp_ntz, "
+        "last_timestamp timestamp_ntz, load string"
+    )
+    finished = read_manifest(spark, path).select("load").distinct()
+    stored = spark.read.schema(schema).parquet(f"{path}/sources").join(finished, "load", "left_semi")
+    return stored.groupBy("source_id").agg(
+        F.sum("events").alias("events"),
+        F.min("first_line").alias("first_line"),
+        F.max("last_line").alias("last_line"),
+        F.min("first_timestamp").alias("first_timestamp"),
+        F.max("last_timestamp").alias("last_timestamp"),
+    )
+
+
+def base_timestamps(spark: SparkSession, path: str) -> DataFrame:
+    """Earliest timestamp of each source, as stored."""
+    return read_sources(spark, path).select("source_id", F.col("first_timestamp").alias("base_timestamp"))
+
+
 def read_lake(
     spark: SparkSession,
     path: str,

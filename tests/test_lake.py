@@ -86,3 +86,14 @@ def test_files_of_many_categories_are_read_for_any(spark, tmp_path, monkeypatch)
     assert placed(lake.read_lake(spark, own, categories=["LOG7"]).collect()) == [("a", 7)]
     lake.write_lake(events_frame(spark), own, buckets=1)
     assert lake.read_lake(spark, own).count() == 10
+
+
+def test_statistics_per_source(spark, tmp_path):
+    own = str(tmp_path / "lake")
+    rows = [event(1, seconds=5), event(2), event(3, seconds=2, source="b"), event(4, source="c")]
+    lake.write_lake(events_frame(spark, *rows), own)
+    lake.write_lake(events_frame(spark, event(9, seconds=1), event(1, seconds=4, source="b")), own)
+    found = {r["source_id"]: tuple(r)[1:] for r in lake.read_sources(spark, own).collect()}
+    at = lambda s: START + timedelta(seconds=s)
+    assert found == {"a": (3, 1, 9, at(1), at(5)), "b": (2, 1, 3, at(2), at(4)), "c": (1, 4, 4, None, None)}
+    assert {tuple(r) for r in lake.base_timestamps(spark, own).collect()} == {("a", at(1)), ("b", at(2)), ("c", None)}

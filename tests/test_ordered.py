@@ -102,6 +102,14 @@ def test_heads_are_found_without_moving_text(spark, tmp_path):
         assert len(re.findall(r"FileScan parquet \[[^\]]*value#", plan)) == 1
 
 
+def test_base_times_parse_prefixes_only(spark, tmp_path):
+    logs = {"a": ["[2031.07.09-08.15.30:250][77]LogA: late", "  LogB: Error: inside", "[2031.07.09-08.15.29:000][7]x"], "b": ["LogA: x"]}
+    found = ingest.base_timestamps(landed(spark, logs, 2, tmp_path), contiguous=True)
+    assert {(r[0], str(r[1])) for r in found.collect()} == {("a", "2031-07-09 08:15:29"), ("b", "None")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Log[A-Za-z0-9_]*" not in plan and "[^ =]" not in plan
+
+
 def test_an_event_over_many_blocks_is_many_partitions(spark, tmp_path):
     logs = {"a": ["LogA: head"] + [f"  part {n}" for n in range(2000)] + ["LogA: end"]}
     lines = landed(spark, logs, 10, tmp_path)
