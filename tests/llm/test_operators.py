@@ -360,15 +360,35 @@ def test_lsh_forest(spark, crowd, partition_rows):
 
 
 def test_lsh_forest_regions_across_borders(spark):
-    forest = lsh_forest.Forest(length=2, depth=1, crowd=4, agree=1)
+    forest = lsh_forest.Forest(length=2, depth=1, crowd=4, agree=1, alike=60)
+    one, other = bytearray(b"\x11" * 32), bytearray(b"\x22" * 32)
     prefix = {1: b"\0\1\0\1", 2: b"\0\1\0\2", 3: b"\0\1\0\1", 9: b"\0\2\0\1", 10: b"\0\2\0\7"}
-    rows = [(i, None, 10, 1, 0, bytearray(p)) for i, p in prefix.items()]
-    rows += [(i, None, 10, 0, 1, bytearray(b"\0\1\0\1")) for i in (7, 6)]  # one row stands for a crowd
+    rows = [(i, None, 10, None, 0, bytearray(p), one) for i, p in prefix.items()]
+    rows += [(i, None, 10, None, 1, bytearray(b"\0\1\0\1"), sketch) for i, sketch in ((7, one), (6, one), (8, other))]
     df = spark.createDataFrame(rows, lsh_forest.FOUND)
     got = {(r["a"], r["b"]) for r in lsh_forest.border_pairs(df, forest).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (9, 10), (6, 7)}
 
 
+def test_lsh_forest_crowds_of_different_texts(spark):
+    """Frequent shingles fill the regions; links among them are found all the same, whatever the partitions."""
+    rng = random.Random(12)
+    common = [f"c{k} d{k}" for k in range(12)]
+    texts = []
+    for i in range(240):
+        own = [f"w{i}x{k}" for k in range(40)]
+        texts.append(" ".join([*common, *own]))
+        if i % 6 == 0:  # a near copy of a text in the crowd
+            own[rng.randrange(40)] = "changed"
+            texts.append(" ".join([*common, *own]))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = {i: {(a, b) for a, b in zip(t.split(), t.split()[1:])} for i, t in enumerate(texts)}
+    for forest in (lsh_forest.Forest(shingle=2, crowd=6), lsh_forest.Forest(shingle=2, crowd=6, partition_rows=400)):
+        got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(df, forest).collect()}
+        assert got == exact_components(sets)
+
+
 def test_lsh_forest_confirms_pairs_that_seldom_agree(spark):
     # Similarity is 0.8 exactly; of a tree that shares the first values, at most 8 of 12 agree.
     texts = []
