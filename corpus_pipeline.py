@@ -6,6 +6,8 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,34 +20,58 @@ from logloom.sources.scratch import settle
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+def apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on documents whose columns have other names than any that it adds, with the own names back after it.
+
+    ``work`` sees ``doc_id`` and ``text`` under their names, and may add, change
+    and filter; what it adds is dropped.
+    """
+    hidden = {c: f"column {i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = work(docs.withColumnsRenamed(hidden))
+    return found.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter, and those whose language cannot be told."""
     model = cross_parsing.learn(docs, remainder("doc_id", 4) != 2)
-    told = cross_parsing.identify(docs, model)
-    kept = (F.col("lang_pred") != cross_parsing.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return told.where(kept).select(*docs.columns)
+    sure = (F.col("lang_pred") != cross_parsing.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return apart(docs, lambda d: cross_parsing.identify(d, model).where(sure))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier calls low quality."""
-    model = quality_trees.learn(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
-    return quality_trees.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    narrow = docs.select("doc_id", "text")
+    model = quality_trees.learn(narrow, read_table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return apart(docs, lambda d: quality_trees.classify(d, model).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
-    found = lsh_forest.near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Keep the document with the smallest id of each group of near-duplicates.
+
+    Rows are told apart by id and text, so a text that shares its id with a
+    copy of something else stays.
+    """
+    found = lsh_forest.near_duplicates(docs.select("doc_id", "text"), text_hash="hash")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone"), F.col("hash").alias("gone_hash"))
+    same = (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return apart(docs, lambda d: d.join(gone, same, "left_anti"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in texts by its kind."""
-    found = pii_boost.find(docs)
-    text = F.when(F.size("pii_spans") > 0, pii_boost.redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.size("pii_spans") > 0, F.length(text)).otherwise(F.col("n_chars"))}
-    columns = [changed[c].cast(t).alias(c) if c in changed else F.col(c) for c, t in docs.dtypes]
-    return found.select(*columns)
+    found = F.size("pii_spans") > 0
+    names = {c.lower(): f"column {i}" for i, c in enumerate(docs.columns)}
+    text = F.when(found, pii_boost.redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
+
+    def work(d: DataFrame) -> DataFrame:
+        changed = pii_boost.find(d).withColumn("new text", text)
+        if "n_chars" in names:
+            size = F.col(f"`{names['n_chars']}`")
+            kind = dict(d.dtypes)[names["n_chars"]]
+            changed = changed.withColumn(names["n_chars"], F.when(found, F.length("new text")).otherwise(size).cast(kind))
+        return changed.withColumn("text", F.col("new text"))
+
+    return apart(docs, work)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
