@@ -360,7 +360,7 @@ def test_lsh_forest(spark, crowd, partition_rows):
 
 
 def test_lsh_forest_regions_across_borders(spark):
-    forest = lsh_forest.Forest(length=2, depth=1, crowd=4, agree=1, alike=60)
+    forest = lsh_forest.Forest(length=2, depth=1, crowd=4, agree=65, alike=60)
     one, other = bytearray(b"\x11" * 32), bytearray(b"\x22" * 32)
     prefix = {1: b"\0\1\0\1", 2: b"\0\1\0\2", 3: b"\0\1\0\1", 9: b"\0\2\0\1", 10: b"\0\2\0\7"}
     rows = [(i, None, 10, None, 0, bytearray(p), one) for i, p in prefix.items()]
