@@ -40,8 +40,8 @@ def word_tokens(text: str = "text") -> Column:
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compression_bands.compression_bands(texts(spark, sf_dir))
-    return found.drop("text")
+    docs = texts(spark, sf_dir)
+    return compression_bands.compression_bands(docs, compression_bands.learn(docs)).drop("text")
 
 
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
