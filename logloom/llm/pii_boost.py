@@ -9,10 +9,13 @@ are right often enough is the threshold. Candidates above it are added to the
 base spans, the best first where they overlap.
 
 Labels come from the corpus itself: a candidate is positive if a base span of
-its kind overlaps it, negative if its format check or its context fails;
-the rest is not learned from. All candidates of all documents count: they are
-grouped by their features, of which there are at most ``PATTERNS`` different
-ones, and only these counts reach the driver to fit the trees.
+its kind overlaps it, negative if its format check fails or a base span of
+another kind overlaps it. The rest, among them all that the base rules miss, is
+not learned from: nothing is a negative because the base rules do not know it.
+The trees learn from three quarters of the texts, by a hash of the text, and the
+thresholds are set on the last quarter. All candidates of all documents count:
+they are grouped by their features, of which there are at most ``PATTERNS``
+different ones, and only these counts reach the driver.
 
 Everything that touches texts is DataFrame functions; trees become nested
 conditions. No shuffle but that of the feature counts.
@@ -63,6 +66,8 @@ WORDS = (
     r"(?i)\b(phone|tel|telephone|call|fax|mobile|cell|telefon|portable|movil)\b",
 )
 CONTEXT = 24
+# Columns of the results; a caller's columns of these names are replaced.
+ADDED = ("pii_base", "pii_candidates", "pii_spans")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 FOUND = "array<struct<start:int,end:int,found:string>>"
 
@@ -74,6 +79,7 @@ class Fit:
     rate: float = 0.4
     ridge: float = 1.0
     precision: float = 0.99
+    held: int = 4  # one in so many texts is held for the thresholds
 
 
 @dataclass(frozen=True)
@@ -169,7 +175,11 @@ def features(kind: int, text: Column, x: Column) -> list[Column]:
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with base spans and candidates; new columns start with ``pii_``."""
+    """``docs`` with base spans and candidates, ``pii_base`` and ``pii_candidates``; columns of these names are replaced."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    prefix = "pii_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
     whole = F.coalesce(F.col(text), F.lit(""))
     has_digit = whole.rlike("[0-9]")
     guards = (whole.contains("@"), has_digit & whole.contains("."), has_digit, has_digit & whole.contains("+"))
@@ -177,14 +187,14 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<string>")
     marked = docs.withColumns(
         {
-            f"pii_{name}_{i}": F.when(guard[i], F.regexp_extract_all(whole, F.lit(rules[i]), F.lit(0))).otherwise(none)
+            f"{prefix}{name}_{i}": F.when(guard[i], F.regexp_extract_all(whole, F.lit(rules[i]), F.lit(0))).otherwise(none)
             for name, rules, guard in (("base", BASE, guards), ("wide", GENERATORS, wide))
             for i in range(len(KINDS))
         }
     )
 
     def base(i: int) -> Column:
-        places = F.filter(located(whole, BASE[i], F.col(f"pii_base_{i}")), lambda x: base_valid(i, x["found"]))
+        places = F.filter(located(whole, BASE[i], F.col(f"{prefix}base_{i}")), lambda x: base_valid(i, x["found"]))
         return F.transform(places, lambda x: F.struct(x["start"], F.lit(i).alias("kind"), x["end"]))
 
     def candidates(i: int) -> Column:
@@ -192,12 +202,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             named = [c.alias(n) for c, n in zip(features(i, whole, x), FEATURES, strict=True)]
             return F.struct(x["start"].alias("start"), x["end"].alias("end"), *named)
 
-        return F.transform(located(whole, GENERATORS[i], F.col(f"pii_wide_{i}")), row)
+        return F.transform(located(whole, GENERATORS[i], F.col(f"{prefix}wide_{i}")), row)
 
     kinds = range(len(KINDS))
     spans = F.array_sort(F.concat(*[base(i) for i in kinds]).cast(SPAN))
     return marked.select(
-        *docs.columns,
+        *[F.col(f"`{c}`") for c in docs.columns],
         spans.alias("pii_base"),
         F.concat(*[candidates(i) for i in kinds]).alias("pii_candidates"),
     )
@@ -211,27 +221,30 @@ def overlaps(spans: Column, x: Column, kind: Column | None = None) -> Column:
     return F.exists(spans, hit)
 
 
-def pattern_counts(spans: DataFrame) -> DataFrame:
-    """Labelled candidates by features: one row per pattern and label."""
-    label = F.when(overlaps(F.col("pii_base"), F.col("c"), F.col("c.kind")), 1).when(
-        (F.col("c.valid") == 0) | (F.col("c.word") == 0), 0
-    )
+def pattern_counts(spans: DataFrame, how: Fit, text: str) -> DataFrame:
+    """Labelled candidates by features: one row per pattern, label, and whether it is held for the thresholds."""
+    base, c = F.col("pii_base"), F.col("c")
+    label = F.when(overlaps(base, c, c["kind"]), 1).when((c["valid"] == 0) | overlaps(base, c), 0)
+    held = (F.pmod(F.xxhash64(text), F.lit(how.held)) == 0).cast("int").alias("held")
     return (
         spans.where(F.size("pii_candidates") > 0)
-        .select("pii_base", F.explode("pii_candidates").alias("c"))
-        .select(*[F.col(f"c.{n}").alias(n) for n in FEATURES], label.alias("label"))
+        .select("pii_base", held, F.explode("pii_candidates").alias("c"))
+        .select(*[c[n].alias(n) for n in FEATURES], label.alias("label"), "held")
         .where(F.col("label").isNotNull())
-        .groupBy(*FEATURES, "label")
+        .groupBy(*FEATURES, "label", "held")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def fit(values: np.ndarray, labels: np.ndarray, weights: np.ndarray, how: Fit = Fit()) -> Model:
-    """Trees from pattern rows, their labels and how often each occurs."""
+def fit(values: np.ndarray, labels: np.ndarray, weights: np.ndarray, held: np.ndarray, how: Fit = Fit()) -> Model:
+    """Trees from pattern rows, their labels and how often each occurs; thresholds from the rows that are held."""
     never = Model(0.0, (), (np.inf,) * len(KINDS))
-    if not len(labels) or labels.min() == labels.max():
+    counts = weights
+    # Rows that are held weigh nothing while the trees grow.
+    weights = np.where(held, 0.0, weights)
+    if not weights.any() or len(np.unique(labels[weights > 0])) < 2:
         return never
-    weights = weights / weights.mean()
+    weights = weights / weights.sum() * np.count_nonzero(weights)
     share = float((weights * labels).sum() / weights.sum())
     base = float(np.log(share / (1 - share)))
     margin, trees = np.full(len(labels), base), []
@@ -257,9 +270,9 @@ def fit(values: np.ndarray, labels: np.ndarray, weights: np.ndarray, how: Fit =
         trees.append((tuple(feature), tuple(cut), tuple(map(float, leaf))))
     thresholds = []
     for kind in range(len(KINDS)):
-        own = np.flatnonzero(values[:, 0] == kind)
+        own = np.flatnonzero((values[:, 0] == kind) & held)
         order = own[np.argsort(-margin[own], kind="stable")]
-        good, seen = (weights * labels)[order].cumsum(), weights[order].cumsum()
+        good, seen = (counts * labels)[order].cumsum(), counts[order].cumsum()
         # Patterns of one margin stand or fall together.
         last = np.append(margin[order][1:] < margin[order][:-1] - 1e-12, True) if len(order) else np.zeros(0, bool)
         ok = np.flatnonzero(last & (good >= how.precision * seen) & (good > 0))
@@ -267,10 +280,12 @@ def fit(values: np.ndarray, labels: np.ndarray, weights: np.ndarray, how: Fit =
     return Model(base, tuple(trees), tuple(thresholds))
 
 
-def learn(spans: DataFrame, how: Fit = Fit()) -> Model:
-    rows = pattern_counts(spans).orderBy(*FEATURES, "label").limit(2 * PATTERNS).collect()
-    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, len(FEATURES) + 2)
-    return fit(table[:, :-2], table[:, -2].astype(float), table[:, -1].astype(float), how)
+def learn(spans: DataFrame, how: Fit = Fit(), text: str = "text") -> Model:
+    """At most four rows for each of the ``PATTERNS`` reach the driver."""
+    rows = pattern_counts(spans, how, text).orderBy(*FEATURES, "label", "held").collect()
+    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, len(FEATURES) + 3)
+    label, held, n = table[:, -3].astype(float), table[:, -2] == 1, table[:, -1].astype(float)
+    return fit(table[:, :-3], label, n, held, how)
 
 
 def margin_of(model: Model, c: Column) -> Column:
@@ -332,9 +347,10 @@ def listed(spans: Column) -> Column:
 def find(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``, arrays of (start, kind, end) sorted by start and kind."""
     spans = with_spans(docs, text)
-    model = learn(spans, how)
+    model = learn(spans, how, text)
     both = F.array_sort(F.concat(F.col("pii_base"), added(model)))
-    return spans.select(*docs.columns, "pii_base", both.alias("pii_spans"))
+    kept = [F.col(f"`{c}`") for c in spans.columns if c.lower() not in ADDED]
+    return spans.select(*kept, "pii_base", both.alias("pii_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
