@@ -539,3 +539,8 @@ FROM (SELECT *, sum(CASE WHEN ts - pts <= INTERVAL 10 SECOND THEN 0 ELSE 1 END)
 GROUP BY source_id, category, verbosity, message, ctext, s"""
     ),
 }
+
+for _name in ("filter_text", "clean_text"):
+    ORACLES[f"{_name}_file"] = (
+        f"SELECT row_number() OVER (ORDER BY source_id, line_number) AS line_number, value FROM ({ORACLES[_name]})"
+    )

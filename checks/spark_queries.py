@@ -248,6 +248,27 @@ def clean_text(spark, sf_dir):
     return commands.clean(events_of(spark, sf_dir), "exact")
 
 
+def read_back(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Lines of the text files that ``rows`` are written to, numbered in order of the files' names."""
+    path = scratch_path(spark, "text")
+    sinks.write_text(rows, path)
+    place = F.regexp_extract(F.col("_metadata.file_name"), r"part-([0-9]+)", 1).cast("int")
+    lines = read_lines(spark, f"{path}/*.txt", F.lit("text"), file_place=place)
+    return ingest.number_lines(lines, contiguous=True).select("line_number", "value")
+
+
+@query
+def filter_text_file(spark, sf_dir):
+    """Matched lines through the sink, in log order."""
+    return read_back(spark, QUERIES["filter_text"](spark, sf_dir))
+
+
+@query
+def clean_text_file(spark, sf_dir):
+    """Clean lines through the sink, in log order."""
+    return read_back(spark, QUERIES["clean_text"](spark, sf_dir))
+
+
 @query
 def categories_text(spark, sf_dir):
     return commands.categories(heads_of(spark, sf_dir), PROFILE)
