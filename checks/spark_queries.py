@@ -162,10 +162,12 @@ def line_numbering(spark, sf_dir):
 @query
 def line_numbering_rotated(spark, sf_dir):
     """The files of a source as one log, each cut into many splits."""
+    folder = log_folder(spark, sf_dir)
+    # For the splits of the files only: the tables they are made from are read as ever.
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     try:
-        lines = read_lines(spark, log_folder(spark, sf_dir), whole_source(), file_place=file_place())
+        lines = read_lines(spark, folder, whole_source(), file_place=file_place())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return ingest.number_lines(lines, contiguous=True).select("source_id", "line_number", "value")

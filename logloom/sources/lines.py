@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,26 @@ OFFSET_BITS = 44
 # Names of files that Spark reads as one split, and lines of a block that is cut from one.
 COMPRESSED = r"(?i)\.(gz|gzip|zst|zstd|snappy|lz4|deflate|xz)$"
 LANDED_LINES = 1 << 16
+# Tasks of one look at text, at most: this many, or so many for every core.
+SCAN_TASKS, SCAN_TASKS_PER_CORE = 1024, 64
+MAX_TASKS = "spark.sql.files.maxPartitionNum"
+
+
+@contextmanager
+def packed_splits(spark: SparkSession) -> Iterator[None]:
+    """Splits stay as they are cut, but a task reads many of them if there are more than tasks pay for.
+
+    A split is a block, and may be as small as one likes: without this, each
+    would be a task, and a file of its own in the landing.
+    """
+    if spark.conf.get(MAX_TASKS, None) is not None:
+        yield
+        return
+    spark.conf.set(MAX_TASKS, str(max(SCAN_TASKS, SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(MAX_TASKS)
 
 
 def scan_lines(
@@ -27,7 +50,8 @@ def scan_lines(
     source in order, 0 to 2 ** 19 - 1. ``block`` is the place of the file and
     the byte offset of the file split; ``pos`` grows by one per line inside it,
     because one task reads a split in order and the id is taken directly above
-    the scan. Files that share a source and a place fail when they are numbered.
+    the scan. ``read_lines`` fails files that share a source and a place when
+    they are numbered.
     """
     scanned = spark.read.text(path)
     location, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
@@ -64,7 +88,10 @@ def read_lines(
     # Ids of a task begin at a multiple of 2 ** 33. A later block takes a later byte of the file as its name.
     part = F.expr(f"(pos & {(1 << 33) - 1}L) div {int(block_lines)}L")
     block = F.when(F.rlike("source_path", F.lit(COMPRESSED)), F.col("block") + part).otherwise(F.col("block"))
-    return _landed(lines.withColumn("block", block), landing, block_lines)
+    # A task may read files one after the other; every file has positions of its own, so that two never pass for one.
+    pos = F.col("pos") + F.shiftleft(F.crc32(F.col("source_path").cast("binary")), 30)
+    with packed_splits(spark):
+        return _landed(lines.withColumns({"block": block, "pos": pos}), landing, block_lines)
 
 
 def land_lines(lines: DataFrame, landing: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.ingest import number_lines, parse_events
+from logloom.sources import lines as text_lines
 from logloom.plans.report import matched_lines
 from logloom.sinks.event_files import write_text
 from logloom.sources.lines import read_lines
@@ -58,6 +59,35 @@ def test_files_of_one_log_without_order_fail(spark, rotated):
             job(lines, contiguous=True).collect()
 
 
+def test_small_splits_share_tasks(spark, rotated, tmp_path, monkeypatch):
+    path, expected = rotated
+    monkeypatch.setattr(text_lines, "SCAN_TASKS", 3)
+    monkeypatch.setattr(text_lines, "SCAN_TASKS_PER_CORE", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        lines = read_lines(spark, path, F.lit("game"), str(tmp_path / "landed"), place())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.conf.get(text_lines.MAX_TASKS, None) is None
+    # The splits are the blocks, as before; what was written down is not a file for each.
+    assert lines.select("block").distinct().count() > 25
+    assert len(list((tmp_path / "landed").glob("*.parquet"))) <= 4
+    got = number_lines(lines, contiguous=True).orderBy("line_number").select("line_number", "value").collect()
+    assert [tuple(r) for r in got] == list(enumerate(expected, 1))
+
+
+def test_files_without_order_fail_in_one_task_too(spark, rotated):
+    spark.conf.set(text_lines.MAX_TASKS, "1")
+    try:
+        lines = read_lines(spark, rotated[0], F.lit("game"))
+        assert spark.conf.get(text_lines.MAX_TASKS) == "1"
+    finally:
+        spark.conf.unset(text_lines.MAX_TASKS)
+    for job in (number_lines, parse_events):
+        with pytest.raises(Exception, match="file_place"):
+            job(lines, contiguous=True).collect()
+
+
 def test_text_is_written_in_log_order(spark, tmp_path):
     numbers = [(i * 37) % 101 + 1 for i in range(101)]
     frame = events_frame(spark, *[event(n, "LogA", "Display", f"m{n}") for n in numbers]).repartition(7)
