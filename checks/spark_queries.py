@@ -696,7 +696,10 @@ def stream_redact(spark, sf_dir):
 def stream_burst(spark, sf_dir):
     """Several files a trigger, none in order of time; open sessions come from the state."""
     source, path, checkpoint = (scratch_path(spark, f"burst-{part}") for part in ("in", "state", "checkpoint"))
-    events_of(spark, sf_dir).repartition(6, "line_number").write.parquet(source)
+    # Three triggers however large the table is; its files are more, not larger.
+    files = 2 * bridge.event_files(spark, sf_dir)
+    events_of(spark, sf_dir).repartition(3 * files, "line_number").write.parquet(source)
     state = BurstState(path)
-    state.start(event_stream.stream_parquet_events(spark, source, files_per_batch=2), checkpoint).awaitTermination()
+    stream = event_stream.stream_parquet_events(spark, source, files_per_batch=files)
+    state.start(stream, checkpoint).awaitTermination()
     return state.sessions(spark)

@@ -7,10 +7,10 @@ is associative and does not depend on order, so sessions may be merged in as
 many steps and from as many batches as one likes.
 
 A key may hold any part of all events. Events of one instant are one row, and a
-key is cut into minutes, so a window holds a bounded number of rows. Inside a
-minute rows are compared with the greatest end so far; minutes hand that end,
-and the start of the session that is open, to the next in a table of one row
-per key and minute.
+key is cut into minutes, so a window over events holds a bounded number of rows.
+What remains of a minute is a row per session inside it, however many events it
+had; only these are looked at key by key. Rows are shuffled twice, by key and
+minute and by key, and joined with nothing.
 """
 
 from __future__ import annotations
@@ -33,35 +33,20 @@ def as_fragments(events: DataFrame, key: Column, time: Column) -> DataFrame:
     return counted.select(KEY, FIRST, F.col(FIRST).alias(LAST), SIZE)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
-    """``rows`` with columns of the row of ``table`` for their key and minute; a null key is a key."""
-    found = table.select(F.col(KEY).alias("_of"), F.col("_minute").alias("_at"), *names)
-    same = F.col(KEY).eqNullSafe(F.col("_of")) & (F.col("_minute") == F.col("_at"))
-    return rows.join(found, same).drop("_of", "_at")
+def _merged(rows: DataFrame, gap: timedelta, *keys: str) -> DataFrame:
+    """Rows with the same ``keys`` merged by one look at them in order of time; ``keys`` stay."""
+    inside = Window.partitionBy(*keys).orderBy(FIRST, LAST)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = F.max(LAST).over(before)
+    opens = ended.isNull() | (F.col(FIRST) - ended > F.lit(gap))
+    marked = rows.withColumn("_opens", opens.cast("bigint")).withColumn("_session", F.sum("_opens").over(so_far))
+    sums = F.min(FIRST).alias(FIRST), F.max(LAST).alias(LAST), F.sum(SIZE).alias(SIZE)
+    return marked.groupBy(*keys, "_session").agg(*sums).drop("_session")
 
 
 def merge_sessions(fragments: DataFrame, gap: timedelta) -> DataFrame:
     """The sessions that the fragments form, as fragments again."""
-    # Copies of an interval count as one in what follows.
-    rows = fragments.groupBy(KEY, FIRST, LAST).agg(F.sum(SIZE).alias(SIZE))
-    rows = rows.withColumn("_minute", minute_slice(F.col(FIRST)))
-    earlier = Window.partitionBy(KEY).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(KEY, "_minute").agg(F.max(LAST).alias("_end"))
-    carried = ends.select(KEY, "_minute", F.max("_end").over(earlier).alias("_carried"))
-
-    inside = Window.partitionBy(KEY, "_minute").orderBy(FIRST, LAST)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = F.greatest(F.max(LAST).over(before), F.col("_carried"))
-    opens = ended.isNull() | (F.col(FIRST) - ended > F.lit(gap))
-    marked = _looked_up(rows, carried, "_carried").withColumn("_opened", F.when(opens, F.col(FIRST)))
-    marked = marked.withColumn("_start", F.max("_opened").over(so_far))
-    # What a minute goes on with: the latest start in the minutes before it.
-    starts = marked.groupBy(KEY, "_minute").agg(F.max("_opened").alias("_latest"))
-    going_on = starts.select(KEY, "_minute", F.max("_latest").over(earlier).alias("_open"))
-    placed = _looked_up(marked, going_on, "_open")
-    return (
-        placed.groupBy(KEY, F.coalesce("_start", "_open").alias("_session"))
-        .agg(F.min(FIRST).alias(FIRST), F.max(LAST).alias(LAST), F.sum(SIZE).alias(SIZE))
-        .select(*FRAGMENT)
-    )
+    timed = fragments.select(*FRAGMENT).where(F.col(FIRST).isNotNull())
+    of_minutes = _merged(timed.withColumn("_minute", minute_slice(F.col(FIRST))), gap, KEY, "_minute")
+    return _merged(of_minutes.drop("_minute"), gap, KEY).select(*FRAGMENT)

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,14 +67,14 @@ class BurstState:
     def take_in(self, batch: DataFrame, number: int) -> None:
         """Write the fragments, the labels and the counts of one micro-batch; running it again changes nothing."""
         labelled = batch.withColumn("continuation", F.concat_ws(CONTINUATION_JOINT, "continuation_lines"))
-        # One look at the batch: a row per key and instant. All else follows from these.
-        instants = labelled.groupBy(_key().alias(KEY), F.col("timestamp").alias(FIRST)).agg(
-            F.count(F.lit(1)).alias(SIZE), *[F.min(name).alias(name) for name in LABELS]
-        )
-        instants = settle(instants.withColumn(LAST, F.col(FIRST)), "instants")
+        # One look at the batch: a row per key and instant. All else follows from these. The digest is the key's
+        # name in the state; labels are grouped by themselves, as texts under min() would have to be sorted.
+        counted = labelled.groupBy(*LABELS, F.col("timestamp").alias(FIRST)).agg(F.count(F.lit(1)).alias(SIZE))
+        instants = counted.select(_key().alias(KEY), FIRST, F.col(FIRST).alias(LAST), SIZE, *LABELS)
+        instants = settle(instants, "instants")
         timed = instants.where(F.col(FIRST).isNotNull())
         fragments = merge_sessions(timed.select(*FRAGMENT), self.gap)
-        labels = timed.groupBy(KEY).agg(*[F.min(name).alias(name) for name in LABELS])
+        labels = timed.select(KEY, *LABELS).distinct()
         late = _before(F.col(FIRST), self.watermark(batch.sparkSession, number))
         progress = instants.agg(
             F.coalesce(F.sum(SIZE), F.lit(0)).alias("events"),
@@ -95,6 +96,8 @@ class BurstState:
 
     def watermark(self, spark: SparkSession, before: int | None = None) -> datetime | None:
         """The latest time that all batches, or those before a number, have seen, minus ``delay``."""
+        if before == 0:
+            return None
         seen = self.progress(spark)
         seen = seen if before is None else seen.where(F.col("batch") < before)
         latest = seen.agg(F.max("latest")).first()[0]
@@ -103,7 +106,7 @@ class BurstState:
     def sessions(self, spark: SparkSession) -> DataFrame:
         """Every session of the batches taken in so far, with its labels and ``closed``."""
         merged = merge_sessions(self._state(spark, "fragments"), self.gap)
-        labels = self._state(spark, "labels").groupBy(KEY).agg(*[F.min(name).alias(name) for name in LABELS])
+        labels = self._labels(spark)
         closed = _before(F.col(LAST) + F.lit(self.gap), self.watermark(spark))
         return merged.join(labels, KEY).select(*LABELS, FIRST, LAST, SIZE, closed.alias("closed"))
 
@@ -116,8 +119,7 @@ class BurstState:
         last = self.progress(spark).agg(F.max("batch")).first()[0]
         if last is None or last == self._folded(spark):
             return
-        labels = self._state(spark, "labels").groupBy(KEY).agg(*[F.min(name).alias(name) for name in LABELS])
-        labels.write.mode("overwrite").parquet(f"{self.path}/folded/labels/upto={last}")
+        self._labels(spark).write.mode("overwrite").parquet(f"{self.path}/folded/labels/upto={last}")
         fragments = merge_sessions(self._state(spark, "fragments"), self.gap)
         fragments.write.mode("overwrite").parquet(f"{self.path}/folded/fragments/upto={last}")
         for name in ("fragments", "labels"):
@@ -125,6 +127,10 @@ class BurstState:
                 below = last if mark == "upto=" else last + 1
                 _Folder(spark, folder).delete(lambda child: child.startswith(mark) and int(child[len(mark) :]) < below)
 
+    def _labels(self, spark: SparkSession) -> DataFrame:
+        """The labels of every key once. Dealt out by key, as the join with them needs it anyway."""
+        return self._state(spark, "labels").repartition(KEY).distinct()
+
     def _folded(self, spark: SparkSession) -> int | None:
         """The last batch that a finished folding holds."""
         root = f"{self.path}/folded/fragments"
@@ -135,16 +141,16 @@ class BurstState:
         """The folded table and the batches after it that are whole."""
         schema, folded = SCHEMAS[name], self._folded(spark)
         last = self.progress(spark).agg(F.max("batch")).first()[0]
-        rows = spark.createDataFrame([], schema)
         if last is None:
-            return rows
+            return spark.createDataFrame([], schema)
+        tables = []
         if folded is not None:
-            rows = spark.read.schema(schema).parquet(f"{self.path}/folded/{name}/upto={folded}")
+            tables.append(spark.read.schema(schema).parquet(f"{self.path}/folded/{name}/upto={folded}"))
         if _Folder(spark, f"{self.path}/{name}").there:
             newer = spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{name}")
             newer = newer.where((F.col("batch") <= last) & (F.col("batch") > (-1 if folded is None else folded)))
-            rows = rows.union(newer.drop("batch"))
-        return rows
+            tables.append(newer.drop("batch"))
+        return reduce(DataFrame.union, tables) if tables else spark.createDataFrame([], schema)
 
 
 def _before(time: Column, watermark: datetime | None) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.sessions import FRAGMENT, as_fragments, merge_sessions
+from logloom.plans import bridge
 from logloom.streaming.burst_state import BurstState
 from logloom.streaming.event_stream import stream_parquet_events
 from tests.helpers import START, event, events_frame
@@ -148,3 +149,26 @@ def test_merging_in_steps_is_merging_at_once(spark):
         steps = steps.union(part)
     assert merge_sessions(steps, GAP).columns == FRAGMENT
     assert sorted(map(str, merge_sessions(steps, GAP).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_merging_shuffles_twice_and_joins_nothing(spark, capsys):
+    rows = [(k, START + timedelta(seconds=i * step), None, 1) for k, step in (("x", 7), ("y", 11), (None, 30)) for i in range(40)]
+    schema = "key string, first_timestamp timestamp_ntz, last_timestamp timestamp_ntz, count bigint"
+    frame = spark.createDataFrame(rows, schema).withColumn("last_timestamp", F.col("first_timestamp"))
+    # Spans minutes in which others begin; the same interval twice.
+    long = spark.createDataFrame([("y", START, START + timedelta(seconds=400), 5)] * 2, schema)
+    merged = merge_sessions(frame.union(long), GAP)
+    merged.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    got = {(r["key"], r["first_timestamp"]): (r["last_timestamp"], r["count"]) for r in merged.collect()}
+    assert got[("x", START)] == (START + timedelta(seconds=273), 40)
+    # 396 is the last inside the long interval, 407 within 10 seconds of its end.
+    assert got[("y", START)] == (START + timedelta(seconds=407), 48)
+    assert len(got) == 1 + 1 + 2 + 40
+
+
+def test_files_of_the_stream_grow_in_number(spark, tmp_path):
+    spark.range(100).write.parquet(f"{tmp_path}/events.parquet")
+    assert bridge.event_files(spark, str(tmp_path)) == 1
+    assert bridge.event_files(spark, str(tmp_path), rows=5) == 4
