@@ -20,11 +20,15 @@ def parse_json_events(texts: DataFrame, fail_fast: bool = True) -> DataFrame:
     records. A record is broken if it is no JSON object or if a value does not
     have the type of its column; ``fail_fast`` then fails the job.
     """
-    loose = F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"})
-    rows = texts.where(F.col("value").rlike(r"\S")).select(
-        F.transform_keys(loose, lambda key, _: F.lower(key)).alias("_json"),
-        (loose.isNull() & F.col("value").isNotNull()).alias("_broken"),
-        "value",
+    loose = F.col("_loose")
+    rows = (
+        texts.where(F.col("value").rlike(r"\S"))
+        .select("value", F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"}).alias("_loose"))
+        .select(
+            F.transform_keys(loose, lambda key, _: F.lower(key)).alias("_json"),
+            (loose.isNull() & F.col("value").isNotNull()).alias("_broken"),
+            "value",
+        )
     )
 
     def column(name: str, kind: T.DataType) -> Column:
@@ -42,12 +46,14 @@ def parse_json_events(texts: DataFrame, fail_fast: bool = True) -> DataFrame:
     for f in EVENT_SCHEMA.fields:
         given = F.try_element_at("_json", F.lit(f.name.replace("_", ""))).isNotNull()
         broken = broken | F.coalesce(given & F.col(f"_typed_{f.name}").isNull(), F.lit(False))
+    # One row in, one row out: the generator keeps filters, such as the one below, from being pushed into the
+    # layers above, where each of their columns would parse the record again.
+    names = [F.col(f"_typed_{f.name}").alias(f.name) for f in EVENT_SCHEMA.fields]
+    read = typed.select(F.inline(F.array(F.struct(*names, broken.alias("_broken"), F.col("value").alias("value")))))
     if fail_fast:
         message = F.concat(F.lit("broken event record: "), F.col("value"))
-        typed = typed.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    return typed.select(
-        *[F.col(f"_typed_{f.name}").alias(f.name) for f in EVENT_SCHEMA.fields], broken.alias("_broken"), "value"
-    )
+        read = read.where(F.when(F.col("_broken"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return read
 
 
 def read_json_events(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -54,6 +54,23 @@ def test_broken_records(spark, tmp_path):
     assert lines_of(good) == [1] and [r["record"] for r in bad.collect()] == ["not json"]
 
 
+def test_a_record_is_parsed_once(spark, tmp_path, capsys):
+    frame = events_frame(spark, FULL, event(4))
+    path = str(tmp_path / "json")
+    sinks.write_json(frame, path)
+    read = sources.read_json_events(spark, path)
+    for asked in (read, read.where("line_number > 3 and category = 'LogA'").select("message")):
+        asked.explain()
+        # The parse of the record, and that of its fields, which are a map too.
+        assert capsys.readouterr().out.count("from_json(MapType(StringType") == 2
+
+
+def test_a_broken_column_fails_the_job_even_if_it_is_not_asked_for(spark, tmp_path):
+    (tmp_path / "events.json").write_text('{"sourceId":"a","lineNumber":1}\n{"lineNumber":2,"frame":"x"}\n')
+    with pytest.raises(Exception, match="broken event record"):
+        sources.read_json_events(spark, str(tmp_path)).select("line_number").where("line_number = 2").collect()
+
+
 def test_contract(spark):
     frame = events_frame(spark, FULL)
     assert assert_event_schema(frame.withColumn("more", F.lit(1))).columns == frame.columns
