@@ -77,7 +77,7 @@ def event_block_rows(spark: SparkSession, sf_dir: str) -> int:
     return rows_per_block(_row_count(spark, sf_dir, "events"))
 
 
-def event_files(spark: SparkSession, sf_dir: str, rows: int = 1 << 20) -> int:
+def event_files(spark: SparkSession, sf_dir: str, rows: int = 1 << 18) -> int:
     """A sixth of the files that hold at most about ``rows`` events each, one at least."""
     return -(-max(1, _row_count(spark, sf_dir, "events")) // (6 * rows))
 
